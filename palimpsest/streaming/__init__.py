@@ -1,0 +1 @@
+"""Kept empty: the surveyed feature set is batch only, so no streaming operator is claimed."""

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_shards
+from . import bpe, packing, token_shards, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op4_bpe": bpe.op4_bpe,
     "op5_token_shards": token_shards.op5_token_shards,
+    "op10_warc": warc.op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc": warc.OP10_SQL,
+}

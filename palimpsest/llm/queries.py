@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_shards, warc
+from . import bpe, multi_index, packing, token_shards, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op4_bpe": bpe.op4_bpe,
     "op5_token_shards": token_shards.op5_token_shards,
+    "op6_exact_topk": topk.op6_exact_topk,
+    "op9_multi_index": multi_index.op9_multi_index,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_exact_topk": topk.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, multi_index, packing, token_shards, topk, warc
+from . import bpe, jaccard_join, language_crf, multi_index, packing, token_shards, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_shards": token_shards.op5_token_shards,
     "op6_exact_topk": topk.op6_exact_topk,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_language_crf": language_crf.op8_language_crf,
     "op9_multi_index": multi_index.op9_multi_index,
     "op10_warc": warc.op10_warc,
 }

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_template, jaccard_join, language_crf, multi_index, packing, token_shards, topk, warc
+from . import bpe, html_template, jaccard_join, language_crf, multi_index, packing, pseudonyms, token_shards, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_html_template": html_template.op2_html_template,
+    "op3_pseudonyms": pseudonyms.op3_pseudonyms,
     "op4_bpe": bpe.op4_bpe,
     "op5_token_shards": token_shards.op5_token_shards,
     "op6_exact_topk": topk.op6_exact_topk,

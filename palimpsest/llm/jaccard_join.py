@@ -51,43 +51,68 @@ def words(text: str) -> list[str]:
 
 
 class Shingler:
-    """Sets of shingle hashes of texts; remembers word hashes, which results don't depend on."""
-
-    def __init__(self, size: int = 3, most: int = 600_000):
-        self.size, self.most, self.known = size, most, {}
+    """Sets of shingle hashes of texts, without a Python step for each word.
+
+    A word's hash is the sum of its bytes' random numbers times powers of an odd number, modulo 2^64: differences of one running sum
+    over the text, each divided by the power at the word's start. A shingle mixes the hashes of its words in order.
+    """
+
+    def __init__(self, size: int = 3):
+        rng = np.random.default_rng(20)
+        self.size = size
+        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        self.separator = np.zeros(256, bool)
+        self.separator[[0x20, *range(0x09, 0x0E)]] = True
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            size = max(n, 2 * len(self.power), 1 << 16)
+            base = int(_PRIME[2])
+            self.power, self.inverse = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+            self.power[0] = self.inverse[0] = 1
+            np.cumprod(self.power, out=self.power)
+            np.cumprod(self.inverse, out=self.inverse)
 
     def hashes(self, text: str) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the text's shingles."""
-        import xxhash
-
-        ws = words(text)
-        if not ws:
+        data = np.frombuffer(text.encode("utf-8").lower(), np.uint8)  # lower() of bytes is ASCII only
+        n = len(data)
+        self._powers(n + 1)
+        inside = np.zeros(n + 2, np.int8)
+        inside[1:-1] = ~self.separator[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        if not len(starts):
             return np.zeros(0, np.uint64)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, out = self.known, []
-        for w in ws:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w.encode())
-            out.append(h)
-        h = np.array(out, np.uint64)
+        running = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[data] * self.power[:n], out=running[1:])
+        h = (running[ends] - running[starts]) * self.inverse[starts]
+        h ^= (ends - starts).astype(np.uint64) * _PRIME[0]
+        h ^= h >> np.uint64(31)
+        h *= _PRIME[1]
+        h ^= h >> np.uint64(29)
         k = min(self.size, len(h))
-        with np.errstate(over="ignore"):
-            s = np.full(len(h) - k + 1, len(h) if len(h) < self.size else self.size, np.uint64)
-            for i in range(k):
-                s = (s ^ h[i : len(h) - k + 1 + i]) * _PRIME[0]
-                s ^= s >> np.uint64(29)
-                s = s * _PRIME[1] + _PRIME[2]
-                s ^= s >> np.uint64(32)
-        return np.unique(s)
+        s = np.full(len(h) - k + 1, k, np.uint64)
+        for i in range(k):
+            s ^= h[i : len(h) - k + 1 + i]
+            s *= _PRIME[0]
+            s ^= s >> np.uint64(32)
+            s *= _PRIME[1]
+            s ^= s >> np.uint64(29)
+        s.sort()
+        keep = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=keep[1:])
+        return s[keep]
 
 
 _shinglers: dict[int, Shingler] = {}
 
 
 def shingler(size: int) -> Shingler:
-    return _shinglers.setdefault(size, Shingler(size))
+    if size not in _shinglers:
+        _shinglers[size] = Shingler(size)
+    return _shinglers[size]
 
 
 def exact_set(text: str, size: int) -> frozenset:
@@ -234,7 +259,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     entries = common.materialise(entries.join(firsts.select("token"), "token", "left_semi"), "jaccard-entries")
     star = entries.join(firsts, (entries["token"] == firsts["token"]) & (entries["doc_id"] != firsts["first"]) & fits("n", "first_n", "pos", "first_pos"))
     star = star.select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b")).distinct()
-    texts = docs.where("doc_id is not null and text is not null").dropDuplicates(["doc_id", "text"])
+    # texts of documents that share a prefix shingle: shuffled once, by doc_id, and kept for both verifications
+    sharing = entries.select("doc_id").distinct().hint("shuffle_hash")
+    texts = docs.where("doc_id is not null and text is not null").join(sharing, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = common.materialise(texts, "jaccard-texts")
     near_docs = lambda pairs: texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     star = common.materialise(star, "jaccard-star")
     links = common.materialise(_verified(star, slim, near_docs(star), size, num, den), "jaccard-links")

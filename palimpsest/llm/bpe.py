@@ -30,7 +30,7 @@ _NEVER = 1 << 40
 class SpeculativeBPE:
     """A byte-level BPE file as tables. Inside, tokens are numbered by when they are made: bytes first, then merges in order."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         byte_of = {c: b for b, c in word_ids.byte_alphabet().items()}
@@ -60,12 +60,14 @@ class SpeculativeBPE:
         self.size, self.cache, self.most = size, {}, cache_words
         # greedy may propose only tokens that BPE makes of their own bytes
         self.propose = {t: i for i, t in enumerate(self.token) if i < 256 or self.exact(t) == [i]}
-        self.longest = max(map(len, self.propose))
+        self.reach: dict[bytes, int] = {}  # first three bytes: the longest token with them
+        for t in self.propose:
+            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
 
     def greedy(self, word: bytes) -> list[int]:
-        out, at, n, get = [], 0, len(word), self.propose.get
+        out, at, n, get, reach = [], 0, len(word), self.propose.get, self.reach.get
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + reach(word[at : at + 3], 2)), at, -1):
                 token = get(word[at:end])
                 if token is not None:
                     out.append(token)
@@ -75,6 +77,26 @@ class SpeculativeBPE:
 
     def exact(self, word: bytes) -> list[int]:
         """Merge the earliest-ranked pair, leftmost first, until none is left."""
+        return self._exact_short(word) if len(word) <= 40 else self._exact_long(word)
+
+    def _exact_short(self, word: bytes) -> list[int]:
+        token, made = list(word), self.merge.get
+        ranks = [made(p, _NEVER) for p in zip(token, token[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
+                break
+            i = ranks.index(best)
+            token[i : i + 2] = (best,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = made((token[i - 1], best), _NEVER)
+            if i < len(ranks):
+                ranks[i] = made((best, token[i + 1]), _NEVER)
+        return token
+
+    def _exact_long(self, word: bytes) -> list[int]:
+        """With a heap over a linked list."""
         token, n, merge = list(word), len(word), self.merge
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(made, i) for i in range(n - 1) if (made := merge.get((token[i], token[i + 1]))) is not None]
@@ -141,14 +163,14 @@ class SpeculativeBPE:
         if len(self.cache) > self.most:
             self.cache.clear()
         known = self.cache
-        new = list({w for ws in words for w in ws if w not in known and isinstance(w, str)})
+        new = [w for w in set().union(*words).difference(known) if isinstance(w, str)]
         known |= self.learn(new)
         for token, i in self.added.items():
             known[(token,)] = (1, str(i), token.encode())
         for ws in words:
-            entries = [known[w] for w in ws]
-            decoded = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
-            yield sum(e[0] for e in entries), hashlib.sha256(",".join([e[1] for e in entries]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            n, ids, decoded = zip(*map(known.__getitem__, ws), strict=True) if ws else ((), (), ())
+            text = b"".join(decoded).decode("utf-8", "replace")
+            yield sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

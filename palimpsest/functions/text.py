@@ -20,6 +20,11 @@ ERAS = (("pre-1700", 1700), ("1700-1799", 1800), ("1800-1849", 1850), ("1850-189
 ERA_ORDER = [*(name for name, _ in ERAS), "1900+"]
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use() names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tok_ws(text: Column, lower: bool = False) -> Column:
     return F.filter(F.split(F.lower(text) if lower else text, WS), lambda x: x != "")
 
@@ -57,7 +62,7 @@ def ocr_quality(text: Column) -> Column:
 
 
 def tier(score: Column, bounds: tuple[float, float] = CORPUS_TIERS) -> Column:
-    return F.when(score.isNull(), "unknown").when(score >= bounds[0], "high").when(score >= bounds[1], "medium").otherwise("low")
+    return once(score, lambda s: F.when(s.isNull(), "unknown").when(s >= bounds[0], "high").when(s >= bounds[1], "medium").otherwise("low"))
 
 
 def era(year: Column) -> Column:

@@ -50,12 +50,15 @@ def percentiles_linear(rows: DataFrame, value: str, percents: list[int], *by: st
 
 def binned(rows: DataFrame, value: str, edges: list[float], last_closed: bool) -> DataFrame:
     """bin, lower, upper, n of half-open bins, empty ones too; values outside are dropped. Compared with the edges, not divided."""
-    v, k = F.col(value), len(edges) - 1
-    index = F.when(v.isNull() | F.isnan(v.cast("double")) | (v < edges[0]), None)
-    for i in range(k):
-        index = index.when(v < edges[i + 1], i)
-    if last_closed:
-        index = index.when(v == edges[-1], k - 1)
+    k = len(edges) - 1
+
+    def place(v: Column) -> Column:
+        out = F.when(v.isNull() | F.isnan(v.cast("double")) | (v < edges[0]), None)
+        for i in range(k):
+            out = out.when(v < edges[i + 1], i)
+        return out.when(v == edges[-1], k - 1) if last_closed else out
+
+    index = T.once(F.col(value), place)
     got = rows.select(index.cast("int").alias("bin"), *[c for c in rows.columns if c != "bin"]).where("bin is not null")
     bins = rows.sparkSession.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(k)], "bin int, lower double, upper double")
     extra = [F.avg(c).alias(f"mean_{c}") for c in rows.columns if c not in (value, "bin")]

@@ -82,3 +82,11 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec")).where(
         F.col("vec").isNotNull() & F.col("id").isNotNull() & ~F.exists("vec", bad)
     )
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

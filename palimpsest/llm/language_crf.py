@@ -263,11 +263,12 @@ def training_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, chars: int
     return list(zip(pdf["text"].tolist(), pdf["lang"].tolist(), strict=True))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; all other columns are kept."""
+def predict(docs: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two columns more, the predicted language and its score; columns of these names are replaced, all others kept."""
+    docs = docs.drop(language, score)
     common.small_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{language}` string, `{score}` double"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -275,7 +276,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:  # Arrow, so that columns that aren't read go through as they are
             found = shared.value.predict([t or "" for t in batch.column("text").to_pylist()])
             columns = {n: batch.column(n) for n in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())})
+            yield pa.RecordBatch.from_pydict(columns | {language: pa.array([f[0] for f in found], pa.string()), score: pa.array([f[1] for f in found], pa.float64())})
 
     return docs.mapInArrow(run, schema)
 

@@ -120,14 +120,14 @@ def _email(v: Column, key: str) -> Column:
     return F.concat(_filled(local, new, r"[\p{L}\p{N}]"), F.substring(v, F.length(local) + 1, F.length(v)))
 
 
-_FIRST_DAY = F.lit("1700-01-01")
+_FIRST_DAY = "1700-01-01"
 
 
 def _iso_date(v: Column, key: str) -> Column:
     """A day of 1700-2099; 400 years have 146097 = 189 * 773 days."""
-    day = F.datediff(F.to_date(v), F.to_date(_FIRST_DAY)).cast("long")
+    day = F.datediff(F.to_date(v), F.to_date(F.lit(_FIRST_DAY))).cast("long")
     new = feistel(_numbers(F.floor(day / 773), F.pmod(day, F.lit(773))), _numbers(F.lit(189), F.lit(773)), "date", key)
-    return F.date_format(F.date_add(F.to_date(_FIRST_DAY), (F.get(new, 0) * 773 + F.get(new, 1)).cast("int")), "yyyy-MM-dd")
+    return F.date_format(F.date_add(F.to_date(F.lit(_FIRST_DAY)), (F.get(new, 0) * 773 + F.get(new, 1)).cast("int")), "yyyy-MM-dd")
 
 
 def _field_date(v: Column, key: str) -> Column:
@@ -189,13 +189,13 @@ def replaced(text: Column, key: str) -> tuple[Column, Column]:
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, count: str = "n_values") -> DataFrame:
     """docs with personal data in `text` replaced, and the number of replaced values; all other columns are kept."""
-    text = F.col("text")
+    text, name = F.col("text"), common.free_name(docs, "parts")
     there, parts = replaced(text, key)
-    rows = docs.withColumn("__parts", F.when(there, parts))
-    p = F.col("__parts")
+    rows = docs.withColumn(name, F.when(there, parts))
+    p = F.col(name)
     joined = F.array_join(F.zip_with(p["gaps"], p["made"], lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with(p["found"], p["made"], lambda a, b: a != b), lambda x: x))
-    return rows.withColumn("text", F.when(p.isNotNull(), joined).otherwise(text)).withColumn(count, F.when(p.isNotNull(), changed).otherwise(F.lit(0))).drop("__parts")
+    return rows.withColumn("text", F.when(p.isNotNull(), joined).otherwise(text)).withColumn(count, F.when(p.isNotNull(), changed).otherwise(F.lit(0))).drop(name)
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

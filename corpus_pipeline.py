@@ -20,8 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_crf.fit(language_crf.training_sample(docs))
     if not model.languages:
         return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
-    found = language_crf.predict(docs, model).where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang, score = common.free_name(docs, "predicted"), common.free_name(docs, "predicted_score")
+    found = language_crf.predict(docs, model, lang, score).where((F.col(lang) != language_crf.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +30,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = common.materialise(jaccard_join.jaccard_components(docs), "pipeline-components")
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn("__nth", first).where("__nth = 1").drop("__nth")
+    nth = common.free_name(docs, "nth")
+    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn(nth, first).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars follows the text."""
-    found = pseudonyms.pseudonymise(docs, count="__values").drop("__values")
+    count = common.free_name(docs, "values")
+    found = pseudonyms.pseudonymise(docs, count=count).drop(count)
     return (found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found).select(*docs.columns)
 
 

@@ -38,14 +38,14 @@ def chosen(first: int | None = None, only: list[int] | None = None) -> list[Step
 
 def dry_run(steps: list[Step] | None = None) -> list[tuple[int, str, bool]]:
     """(step, query, whether it is registered), without running anything."""
-    from .base import QUERIES
+    from .registry import QUERIES
 
     return [(s.number, q, q in QUERIES) for s in steps or STEPS for q in s.queries]
 
 
 def run(spark: SparkSession, sf_dir: str, out: str, steps: list[Step]) -> bool:
     """Write every query of the steps as JSON below out; stops at the first failure."""
-    from .base import QUERIES
+    from .registry import QUERIES
 
     for step in steps:
         for name in step.queries:
@@ -67,8 +67,6 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--steps", type=int, nargs="*")
     p.add_argument("--dry-run", action="store_true")
     a = p.parse_args(args)
-    from . import registry  # noqa: F401  registers the queries
-
     steps = chosen(a.from_step, a.steps)
     if a.dry_run:
         found = dry_run(steps)

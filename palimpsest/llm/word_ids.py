@@ -42,7 +42,7 @@ def byte_alphabet() -> dict[int, str]:
 class WordIds:
     """ids(text) as little-endian unsigned integers of `width` bytes. The cache is emptied at cache_words; results don't depend on it."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,12 +54,13 @@ class WordIds:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.size = self.tokenizer.get_vocab_size()
         self.width = 2 if self.size <= 1 << 16 else 4
+        self.code = [i.to_bytes(self.width, "little") for i in range(self.size)]
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.model, self.most, self.cache = self.tokenizer.model, cache_words, {}
 
     def _word(self, word: str) -> bytes:
         mapped = word.encode("utf-8").decode("latin-1").translate(self.table)
-        found = b"".join(t.id.to_bytes(self.width, "little") for t in self.model.tokenize(mapped))
+        found = b"".join([self.code[t.id] for t in self.model.tokenize(mapped)])
         if len(self.cache) >= self.most:
             self.cache.clear()
         if len(word) <= 64:
@@ -67,15 +68,17 @@ class WordIds:
         return found
 
     def ids(self, text: str) -> bytes:
-        get, parts = self.cache.get, []
-        for piece in self.special.split(text) if self.special and any(a in text for a in self.added) else (text,):
-            if piece in self.added:
-                parts.append(self.added[piece].to_bytes(self.width, "little"))
-                continue
-            for word in split_words(piece):
-                found = get(word)
-                parts.append(self._word(word) if found is None else found)
-        return b"".join(parts)
+        if not (self.special and any(a in text for a in self.added)):
+            return self._plain(text)
+        return b"".join(self.added[p].to_bytes(self.width, "little") if p in self.added else self._plain(p) for p in self.special.split(text))
+
+    def _plain(self, text: str) -> bytes:
+        words = split_words(text)
+        found = list(map(self.cache.get, words))
+        if None in found:
+            new = {w: self._word(w) for w in {w for w, f in zip(words, found, strict=True) if f is None}}
+            found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        return b"".join(found)
 
 
 _loaded: dict[str, WordIds] = {}

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 _local_dir: list[str] = []
 
 
@@ -45,7 +47,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch, since texts can be long."""
+    """Bound the rows of one Arrow batch, since texts can be long, and let workers import this package."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
@@ -76,7 +79,8 @@ class _Whole:
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec array<double>) of rows whose vector is there and has neither null nor non-finite components."""
+    """(id, vec array<double>) of rows with an id whose vector is there and has neither null nor non-finite components."""
+    importable(df.sparkSession)
     v = F.col(vec_col)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return df.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec")).where(

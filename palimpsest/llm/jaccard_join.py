@@ -232,7 +232,7 @@ def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame, size: int, nu
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); links are sets of similarity num/den or more."""
     spark = docs.sparkSession
     common.small_batches(spark, 500)

@@ -27,11 +27,14 @@ from . import common
 
 TRAIN_DOCS, TRAIN_CHARS, LENGTH, FOLDS = 400, 700, 24, 5
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\b[^\W\d_]++\b")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case; those next to digits (keys, digests) only where there is nothing else."""
+    text = text.lower()
+    return _WORD.findall(text) or _LETTERS.findall(text)
 
 
 def features(word: str) -> list[str]:

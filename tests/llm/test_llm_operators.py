@@ -409,17 +409,17 @@ def near_copies(seed):
     return [(i, t) for i, (_, t) in enumerate(out)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_components(spark, seed):
+@pytest.mark.parametrize(("seed", "size", "num", "den"), [(1, 3, 90, 100), (2, 5, 80, 100)])
+def test_jaccard_components(spark, seed, size, num, den):
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(df).collect())
-    want = brute_components(rows)
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(df, size, num, den).collect())
+    want = brute_components(rows, size, num, den)
     assert got == want and len({c for *_, c in want}) < len(rows)
 
 
 def test_jaccard_on_odd_tables(odd, none):
-    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(odd).collect())
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(odd, 3, 90, 100).collect())
     assert got == brute_components(ODD)
     assert jaccard_join.jaccard_components(none).count() == 0
 
@@ -566,7 +566,7 @@ def test_pipeline(spark, tiny, library, documents):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = pipeline.run(spark, tiny).collect()
     texts = [(k, t) for k, t in zip(documents["doc_id"].tolist(), documents["text"].tolist(), strict=True) if any(c.isalpha() for c in t)]
-    keep = {k for k, _, c in brute_components(texts) if k == c}
+    keep = {k for k, _, c in brute_components(texts, 5, 80, 100) if k == c}
     kept = spark.createDataFrame([(k, t) for k, t in texts if k in keep], "doc_id long, text string")
     safe = [(r["doc_id"], r["text"]) for r in pseudonyms.pseudonymise(kept).collect()]
     assert check_packing(rows, safe, library, 1) == 0

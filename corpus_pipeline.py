@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import common, jaccard_join, language_crf, packing, pseudonyms, word_ids
 
-#: A text whose best language has a smaller mean marginal is rejected: it is in no language that the labels know.
-LEAST_SCORE = 0.4
+#: A text whose best language has a smaller mean marginal is rejected: no language holds it. Texts that switch between known languages stay.
+LEAST_SCORE = 0.35
+#: Near duplicates: shingles of five words, similarity of 80 of 100 or more.
+NEAR = (5, 80, 100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest doc_id stays, as one row; texts without words and null doc_ids stay."""
-    found = common.materialise(jaccard_join.jaccard_components(docs), "pipeline-components")
+    found = common.materialise(jaccard_join.jaccard_components(docs, *NEAR), "pipeline-components")
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     nth = common.free_name(docs, "nth")

@@ -18,13 +18,27 @@ def postings(docs: DataFrame, words=T.tok_regex, *keep: str) -> DataFrame:
     return tokens(docs, words, *keep).groupBy("doc_id", *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def postings_of(docs: DataFrame, terms: DataFrame, words=T.tok_regex, *keep: str) -> DataFrame:
+    """doc_id, the kept columns, dl, term, tf for the terms of `terms` only: other tokens go before anything shuffles, and each text is cut once for its length and its tokens."""
+    cut = docs.select("doc_id", *keep, words(F.col("text")).alias("w"))
+    rows = cut.select("doc_id", *keep, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("doc_id", *keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def lengths(docs: DataFrame, words=T.tok_regex, *keep: str) -> DataFrame:
     """doc_id, the kept columns, dl: tokens of every document, also of those without any."""
-    return docs.select("doc_id", *keep, F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("dl"))
+    return docs.select("doc_id", *keep, F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0)).cast("long").alias("dl"))
+
+
+def doc_frequency(docs: DataFrame, words=T.tok_regex, *by: str) -> DataFrame:
+    """by, term, df: each document gives its distinct terms, so one shuffle of partial counts is all."""
+    return docs.select(*by, F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def doc_frequency(posts: DataFrame, *by: str) -> DataFrame:
-    return posts.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+def frequency_in(posts: DataFrame, *by: str) -> DataFrame:
+    """by, term, df of postings. Counting by tf keeps the shuffle of the postings the same, so that Spark makes it once."""
+    return posts.groupBy(*by, "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def query_terms(queries: DataFrame, words=T.tok_regex) -> DataFrame:

@@ -103,7 +103,7 @@ def tfidf(docs: DataFrame, group: str, top: int, shortest: int, stopwords: list[
     """group, rank, term, tfidf, c: tf over all tokens of the group, idf = ln(N / (1 + df)) over all documents."""
     counts = term_counts(docs, group)
     totals = counts.groupBy(group).agg(F.sum("c").alias("total"))
-    df = P.doc_frequency(P.postings(docs))
+    df = P.doc_frequency(docs)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     kept = counts.where((F.length("term") >= shortest) & ~F.col("term").isin(stopwords))
     score = F.round(F.col("c") / F.col("total") * F.log(F.col("n") / (1 + F.col("df"))), 10)

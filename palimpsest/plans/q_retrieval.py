@@ -45,7 +45,7 @@ def _(spark, d):
 @query("join_postings", PRE + " SELECT t.qid, t.term, p.doc_id, p.tf FROM terms t JOIN postings p USING (term)")
 def _(spark, d):
     terms = postings.query_terms(questions(spark, d)).select("qid", "term")
-    return postings.postings(docs(spark, d)).join(terms, "term").select("qid", "term", "doc_id", "tf")
+    return postings.postings_of(docs(spark, d), terms).join(terms, "term").select("qid", "term", "doc_id", "tf")
 
 
 @query(
@@ -96,7 +96,7 @@ def _(spark, d):
 def _(spark, d):
     rows = docs(spark, d)
     st = postings.lengths(rows).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
-    return postings.doc_frequency(postings.postings(rows)).join(F.broadcast(st), how="cross")
+    return postings.doc_frequency(rows).join(F.broadcast(st), how="cross")
 
 
 # metrics

@@ -338,6 +338,14 @@ def _(spark, d):
     return embed(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 8192).alias("text")))
 
 
+@query("snk_figures", STRAT + ", c AS (SELECT CASE tier WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.8 WHEN 'low' THEN 0.6 END::DOUBLE AS x, ndcg_mean AS y FROM strat) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM c WHERE x IS NOT NULL")
+def _(spark, d):
+    """What the tier figure computes: the linear trend of nDCG over the tiers' centres."""
+    x = F.when(F.col("tier") == "high", 0.95).when(F.col("tier") == "medium", 0.8).when(F.col("tier") == "low", 0.6)
+    rows = stratified(spark, d).select(x.alias("x"), F.col("ndcg_mean").alias("y")).where("x is not null")
+    return rows.agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"))
+
+
 # robustness: rankings of all documents against those of documents cut to their first 2000 characters
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _local_dir:
-            _local_dir.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
+            folder = tempfile.mkdtemp(prefix="palimpsest-")
+            atexit.register(shutil.rmtree, folder, True)
+            _local_dir.append("file://" + folder)
         base = _local_dir[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

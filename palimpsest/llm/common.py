@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
+from ..shared import scratch, table
 
-_local_dir: list[str] = []
+__all__ = ["free_name", "importable", "kept", "materialise", "open_output", "remove", "scratch", "small_batches", "table", "temporary", "valid_vectors"]
 
+#: Scratch tables of the operators that run just now, innermost last.
+_scopes: list[list[str]] = []
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise() writes inside are deleted at the end; give results out with kept()."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _local_dir:
-        _local_dir.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
-    return _local_dir[0]
 
-
-def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def _written(df: DataFrame, label: str, scopes: list[list[str]]) -> DataFrame:
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    if scopes:
+        scopes[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, label, _scopes)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """materialise() what outlives the innermost temporary()."""
+    return _written(df, label, _scopes[:-1])
 
 
 def remove(spark: SparkSession, path: str) -> None:

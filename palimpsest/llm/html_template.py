@@ -292,7 +292,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
     common.small_batches(pages.sparkSession, 500)
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host_column().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = common.materialise(templates(common.materialise(occurrence_vectors(rows.select("page_id", "host", "html")), "html-vectors")), "html-templates")
+    with common.temporary(pages.sparkSession):
+        found = common.kept(templates(common.materialise(occurrence_vectors(rows.select("page_id", "host", "html")), "html-vectors")), "html-templates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

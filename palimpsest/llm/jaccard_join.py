@@ -234,8 +234,12 @@ def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame, size: int, nu
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); links are sets of similarity num/den or more."""
-    spark = docs.sparkSession
-    common.small_batches(spark, 500)
+    common.small_batches(docs.sparkSession, 500)
+    with common.temporary(docs.sparkSession):
+        return common.kept(_components(docs, size, num, den), "jaccard-components")
+
+
+def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = common.materialise(_describe(docs, size), "jaccard-described")
     rows = described.where("block = -1").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "print")
@@ -288,3 +292,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+#: All pairs that share a shingle are counted, then links are followed until nothing new is reached.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END AS sh FROM w
+),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, u.y FROM r JOIN u ON r.other = u.x)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = s.doc_id
+"""

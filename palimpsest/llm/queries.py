@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op6_exact_topk": topk.OP6_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
 }

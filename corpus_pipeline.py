@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest doc_id stays, as one row; texts without words and null doc_ids stay."""
-    found = common.materialise(jaccard_join.jaccard_components(docs, *NEAR), "pipeline-components")
+    found = jaccard_join.jaccard_components(docs, *NEAR)  # a written table
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     nth = common.free_name(docs, "nth")
@@ -56,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return common.materialise(STAGES[-1][1](spark, docs, sf_dir), f"pipeline-{STAGES[-1][0]}")
+    with common.temporary(spark):  # the stages' tables go once the last one is written
+        for name, stage in STAGES[:-1]:
+            docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return common.kept(STAGES[-1][1](spark, docs, sf_dir), f"pipeline-{STAGES[-1][0]}")

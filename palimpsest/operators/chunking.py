@@ -96,26 +96,35 @@ def percentile_windows(docs: DataFrame, value: str, percents: list[int], n: int
 
 
 def stratified_sample(docs: DataFrame, size: int, tier: str, year: str) -> DataFrame:
-    """The evenly spaced rows of each tier in the order of year (missing years count as 1900): its share of `size`, one at least."""
-    counts = docs.groupBy(tier).agg(F.count(F.lit(1)).alias("nt"))
-    total = counts.agg(F.sum("nt").alias("all"))
+    """The evenly spaced rows of each tier in the order of year (missing years count as 1900): its share of `size`, one at least.
+
+    Rows aren't ranked over a whole tier: counts of (tier, year) tell which year a wanted place falls in and how far, and only rows of
+    such years are ranked, each year on its own.
+    """
+    dated = docs.withColumn("y", F.coalesce(F.nullif(F.col(year), F.lit(0)), F.lit(1900)))
+    counts = dated.groupBy(tier, "y").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(tier).orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = counts.groupBy(tier).agg(F.sum("c").alias("nt"))
+    totals = totals.join(F.broadcast(totals.agg(F.sum("nt").alias("all"))), how="cross")  # one row; a few tiers
     n = F.least(F.greatest(F.lit(1), F.floor(F.lit(size) * F.col("nt") / F.col("all"))), F.col("nt"))
-    counts = counts.join(F.broadcast(total), how="cross").withColumn("n", n).select(tier, "nt", "n")
-    at = F.row_number().over(Window.partitionBy(tier).orderBy(F.coalesce(F.nullif(F.col(year), F.lit(0)), F.lit(1900)), "doc_id")) - 1
-    rows = docs.withColumn("at", at).join(F.broadcast(counts), tier)  # a few tiers
-    # row `at` is taken if it is floor(i nt / n) for some i, that is for the first i with i nt >= at n
-    i = F.ceil(F.col("at") * F.col("n") / F.col("nt"))
-    return rows.where((i < F.col("n")) & (F.floor(i * F.col("nt") / F.col("n")) == F.col("at"))).drop("at", "nt", "n")
+    wanted = totals.withColumn("n", n).select(tier, F.explode(F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.floor(i * F.col("nt") / F.col("n")))).alias("place"))
+    spans = counts.withColumn("before", before)
+    hits = wanted.join(spans, tier).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c")))
+    hits = hits.select(tier, "y", (F.col("place") - F.col("before") + 1).alias("nth"))
+    years = hits.select(tier, "y").distinct()
+    nth = F.row_number().over(Window.partitionBy(tier, "y").orderBy("doc_id"))
+    return dated.join(years, [tier, "y"], "left_semi").withColumn("nth", nth).join(hits, [tier, "y", "nth"], "left_semi").select(*docs.columns)
 
 
 def query_sample(docs: DataFrame, n: int, tier: str, least_words: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(retrieval sample, documents used before it was topped up): an equal number of each tier, topped up to n from the rest. Order: doc_id instead of a seeded shuffle."""
+    """(retrieval sample, documents used before it was topped up): an equal number of each tier, topped up to n from the rest. Order: doc_id instead of a seeded shuffle.
+
+    The number of tiers is counted first, so that the rank filter has a constant bound and each task keeps that many rows only.
+    """
     viable = docs.where(F.col("word_count") >= least_words)
-    tiers = viable.select(tier).distinct().agg(F.count(F.lit(1)).alias("tiers"))
+    share = max(1, n // max(1, viable.select(tier).distinct().count()))
     nth = F.row_number().over(Window.partitionBy(tier).orderBy("doc_id"))
-    rows = viable.withColumn("nth", nth).join(F.broadcast(tiers), how="cross")
-    share = F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest(F.lit(1), F.col("tiers"))))
-    used = rows.where(F.col("nth") <= share).drop("nth", "tiers")
+    used = viable.withColumn("nth", nth).where(F.col("nth") <= share).drop("nth")
     rest = viable.join(used.select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").limit(n)
     both = used.withColumn("late", F.lit(0)).unionByName(rest.withColumn("late", F.lit(1)))
     return both.orderBy("late", "doc_id").limit(n).drop("late"), used

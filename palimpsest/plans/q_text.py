@@ -202,7 +202,15 @@ def _(spark, d):
     return C.chunk_index(rows, C.fixed_chunks(F.col("text"))).select("doc_id", "chunk_id", "lang", "start_word", "end_word")
 
 
-@query("chunk_semantic")
+@query(
+    "chunk_semantic",
+    f"""WITH RECURSIVE s0 AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n[\\t-\\r ]*\\n'), lambda x: regexp_replace(x, '\\A@WS@|@WS@\\z', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+    pa AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM s0), pw AS (SELECT doc_id, p, i, len({W.replace('text', 'p')}) AS w FROM pa),
+    r(doc_id, i, c, h, open) AS (SELECT doc_id, 0::BIGINT, -1::BIGINT, 0::BIGINT, FALSE FROM s0 UNION ALL
+      SELECT r.doc_id, pw.i, CASE WHEN pw.w <= 512 AND r.open AND r.h + pw.w <= 512 THEN r.c ELSE r.c + 1 END, CASE WHEN pw.w > 512 THEN 0 WHEN r.open AND r.h + pw.w <= 512 THEN r.h + pw.w ELSE pw.w END, pw.w <= 512
+      FROM r JOIN pw ON pw.doc_id = r.doc_id AND pw.i = r.i + 1)
+    SELECT doc_id, CAST(c AS INTEGER) AS n, CAST(count(*) AS INTEGER) AS n_paragraphs, md5(string_agg(p, chr(10) || chr(10) ORDER BY i)) AS text_md5 FROM r JOIN pw USING (doc_id, i) GROUP BY doc_id, c""",
+)
 def _(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     out = rows.select("doc_id", F.posexplode(C.semantic_chunks(F.col("text"))).alias("n", "c"))
@@ -220,7 +228,14 @@ def _(spark, d):
     return rows.select("doc_id", C.n_chunks(F.col("n")).alias("n_chunks"), F.round(F.col("n") / C.n_chunks(F.col("n")), 6).alias("avg_length"), *(F.round(C.coverage(F.col("n"), k), 6).alias(f"cov_{k}") for k in (1, 3, 5, 10)))
 
 
-@query("chunk_splits")
+@query(
+    "chunk_splits",
+    f"""WITH w AS (SELECT doc_id, text, {W} AS ws FROM documents),
+    b AS (SELECT doc_id, s, length(array_to_string(ws[1:least(s + 512, len(ws))], ' ')) AS p FROM (SELECT doc_id, ws, unnest(generate_series(0, (CAST(ceil(len(ws) / 462) AS BIGINT) - 2) * 462, 462)) AS s FROM w WHERE len(ws) > 462)),
+    st AS (SELECT doc_id, instr(text, x) - 1 AS a, length(x) AS n FROM (SELECT doc_id, text, unnest(list_distinct(string_split(text, '.'))) AS x FROM w WHERE doc_id IN (SELECT doc_id FROM b))),
+    h AS (SELECT DISTINCT b.doc_id, b.s FROM b JOIN st ON b.doc_id = st.doc_id AND a < p AND p < a + n)
+    SELECT w.doc_id, CAST(count(h.s) AS INTEGER) AS splits FROM w LEFT JOIN h ON h.doc_id = w.doc_id GROUP BY w.doc_id""",
+)
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", C.split_sentences(F.col("text")).alias("splits"))
 

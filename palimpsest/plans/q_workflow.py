@@ -313,7 +313,8 @@ def _(spark, d):
     return spark.read.schema("tier string, n long").json(path)
 
 
-@query("snk_latex")
+@query("snk_latex", r"""WITH @CORPUS@, r AS (SELECT tier, count(*) AS n, avg(quality) AS quality FROM corpus GROUP BY tier)
+  SELECT concat('\begin{tabular}{lll}', chr(10), '\toprule', chr(10), 'tier & n & quality \\', chr(10), '\midrule', chr(10), string_agg(printf('%s & %d & %.3f \\', tier, n, quality), chr(10) ORDER BY tier), chr(10), '\bottomrule', chr(10), '\end{tabular}') AS latex FROM r""")
 def _(spark, d):
     rows = corpus(spark, d).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg("ocr_quality").alias("quality")).orderBy("tier").collect()  # a few tiers
     return spark.createDataFrame([(files.latex_table(rows, ["tier", "n", "quality"]),)], "latex string")
@@ -330,15 +331,16 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.encode(files.decoded(content), "utf-8")).alias("text_md5"))
 
 
-@query("src_dirtree")
+@query("src_dirtree", "WITH @DOCS@ SELECT DISTINCT concat(source, 'x') AS doc_id, lang AS collection, CAST(year // 100 * 100 AS VARCHAR) AS date, CAST(year // 100 * 100 AS INTEGER) AS date_numeric, concat('of ', source) AS title, 1 AS source_files FROM docs")
 def _(spark, d):
-    """Documents of one language, decade and source as one folder of text files; rows only."""
+    """Documents of one language, century and source as one folder of text files."""
     path = scratch(spark, "tree")
     rows = docs(spark, d).select(F.col("lang").alias("a"), (F.floor(F.col("year") / 100) * 100).cast("string").alias("b"), F.concat(F.lit("of_"), "source").alias("c"), F.concat("source", F.lit("x")).alias("id"), F.regexp_replace("text", "\n", " ").alias("value"))
     rows.repartition("a", "b", "c").write.partitionBy("a", "b", "c", "id").text(path)
     tree = files.read_tree(spark, path)
     clean = [F.regexp_replace(c, "^[abc]=|^id=", "").alias(c) for c in ("doc_id", "collection", "date", "title")]
-    return tree.select(*clean, "source_files", F.length("text").alias("chars"))
+    # folders are named b=1700 here: the year is read from the cleaned name
+    return tree.select(*clean, "source_files").withColumn("date_numeric", T.year_folder(F.col("date"))[1])
 
 
 LISTING = "CASE page_id % 6 WHEN 0 THEN concat('d/', page_id, '_ALTO.xml') WHEN 1 THEN concat('d/', page_id, '.txt') WHEN 2 THEN concat('d/', page_id, '.jpg') WHEN 3 THEN concat('d/x', page_id, '.xml') WHEN 4 THEN concat('d/', page_id, '-mets.xml') ELSE concat('d/', page_id, '.bin') END"
@@ -403,14 +405,14 @@ def _(spark, d):
     return markup.confidences(markup.read_alto(alto_files(spark, d))).select("doc_id", "word_count", F.round("mean_wc", 6).alias("mean_wc"), F.round("median_wc", 6).alias("median_wc"), "tier")
 
 
-@query("src_mets")
+@query("src_mets", "SELECT page_id, concat('Page ', page_id) AS title, concat('c. ', 1700 + page_id % 200, '.') AS date, CAST(1700 + page_id % 200 AS INTEGER) AS year, 'a' AS subjects, concat('a', page_id, '.xml') AS alto_files, 'b.jpg' AS image_files, 2 AS page_count FROM pages")
 def _(spark, d):
     xml = F.format_string(
         '<mets xmlns="http://www.loc.gov/METS/" xmlns:xlink="http://www.w3.org/1999/xlink"><dmdSec><mods xmlns="http://www.loc.gov/mods/v3"><titleInfo><title>Page %d</title></titleInfo><originInfo><dateIssued>c. %d.</dateIssued></originInfo><subject><topic>a</topic></subject></mods></dmdSec>'
         '<fileSec><fileGrp USE="ALTO"><file><FLocat xlink:href="a%d.xml"/></file></fileGrp><fileGrp USE="img"><file><FLocat xlink:href="b.jpg"/></file></fileGrp></fileSec><structMap><div TYPE="page"/><div TYPE="page"/></structMap></mets>',
         "page_id", 1700 + F.col("page_id") % 200, "page_id",
     )
-    return table(spark, d, "pages").select("page_id", markup.mets(xml).alias("m")).select("page_id", "m.*")
+    return table(spark, d, "pages").select("page_id", markup.mets(xml).alias("m")).select("page_id", "m.title", "m.date", "m.year", *(F.array_join(f"m.{c}", ",").alias(c) for c in ("subjects", "alto_files", "image_files")), "m.page_count")
 
 
 # steps

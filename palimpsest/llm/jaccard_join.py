@@ -207,7 +207,7 @@ def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame, size: int, nu
     b = slim.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b"))
     difference = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     # |a - b| + |b - a| = n_a + n_b - 2 overlap, and overlap >= t / (1 + t) (n_a + n_b)
-    allowed = (F.col("n_a") + F.col("n_b")) * (den - num) / F.lit(num + den)
+    allowed = (F.col("n_a").cast("long") + F.col("n_b")) * (den - num) / F.lit(num + den)
     near = pairs.join(a, "a").join(b, "b").where(difference <= allowed).select("a", "b")
     near = common.materialise(near, "jaccard-near")
     left = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -256,7 +256,7 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
     def fits(n_a: str, n_b: str, pos_a: str, pos_b: str):
         """Length and positional filters."""
-        a, b, pa, pb = F.col(n_a), F.col(n_b), F.col(pos_a), F.col(pos_b)
+        a, b, pa, pb = (F.col(c).cast("long") for c in (n_a, n_b, pos_a, pos_b))
         most = F.least(a - pa, b - pb)  # overlap, if this is the first shared shingle
         return (a * den >= b * num) & (b * den >= a * num) & (most * (num + den) >= (a + b) * num)
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TRAIN_DOCS, TRAIN_CHARS, LENGTH, FOLDS = 400, 700, 24, 5
+#: With very many languages: so many windows in all.
+TRAIN_ROWS = 40_000
 UNKNOWN = "und"
 _WORD = re.compile(r"\b[^\W\d_]++\b")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -250,19 +252,20 @@ def held_out():
 
 
 def training_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most per_language (text window, language) of each language, chosen and cut by hashes of doc_id."""
+    """At most per_language (text window, language) of each language and TRAIN_ROWS in all, chosen and cut by hashes of doc_id."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
         return []
-    space = 1 << 30
-    bound = F.lit(0)
-    for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, F.lit(min(space, int(space * 1.5 * per_language / n) + 1))).otherwise(bound)
+    space, most = 1 << 30, max(1, min(per_language, TRAIN_ROWS // languages))
+    # half as many again, since a hash doesn't hit a number exactly; cut to the number below
+    bounds = counts.select("lang", F.least(F.lit(space), F.floor(1.5 * most * space / F.col("n")) + 1).alias("bound"))
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(space))
     begin = 1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int")
-    found = rows.where(h < bound).select("lang", h.alias("h"), F.substring(F.col("text"), begin, F.lit(chars)).alias("text"))
-    pdf = found.toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(per_language)
+    windows = rows.select("lang", h.alias("h"), F.substring(F.col("text"), begin, F.lit(chars)).alias("text"))
+    found = windows.join(F.broadcast(bounds) if languages <= TRAIN_ROWS else bounds, "lang").where(F.col("h") < F.col("bound"))
+    pdf = found.select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(most)
     return list(zip(pdf["text"].tolist(), pdf["lang"].tolist(), strict=True))
 
 

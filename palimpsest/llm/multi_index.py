@@ -70,7 +70,7 @@ class Index:
     """Centroids of both halves, and how vectors become halves."""
 
     def __init__(self, fit: np.ndarray, largest2: float, centroids: int):
-        self.half, self.largest2 = fit.shape[1] // 2, largest2
+        self.half, self.largest2 = max(1, fit.shape[1] // 2), largest2
         a, b = self.halves(fit)
         self.first, self.second = centroids_of(a, centroids), centroids_of(b, centroids)
 

@@ -65,7 +65,9 @@ class Pruner:
 
     def exact(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Integer inner products of rows with rows; in doubles while every sum is below 2^53."""
-        if len(q) and len(x) and np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**53:
+        if not q.size or not x.size:
+            return np.zeros((len(q), len(x)))
+        if np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**53:
             return q @ x.T
         return (q.astype(np.int64) @ x.astype(np.int64).T).astype(np.int64)
 

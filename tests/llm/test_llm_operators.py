@@ -328,6 +328,14 @@ def test_top_k(spark):
     assert topk.top_k(v.where("id < 4"), F.col("id") == 0, 10).count() == 3
 
 
+def test_vectors_of_few_dimensions(spark):
+    df = spark.createDataFrame([(i, [float(i % 7) - 3]) for i in range(60)], "id long, vec array<double>")
+    q = F.col("id") % 20 == 0
+    assert multi_index.search(df, q, 5).count() == 15
+    ints = df.select("id", F.col("vec").cast("array<long>").alias("vec"))
+    assert topk.top_k(ints, q, 5).count() == 15 and topk.top_k(ints.withColumn("vec", F.array().cast("array<long>")), q, 5).count() == 15
+
+
 def test_pruner_skips_pairs():
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(3000, 16)) * 1024 / (1 + np.arange(3000)[:, None] / 20))

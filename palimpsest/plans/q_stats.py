@@ -18,7 +18,7 @@ def _(spark, d):
     return stats.with_share(corpus(spark, d).groupBy("tier").agg(F.count(F.lit(1)).alias("n")))
 
 
-DESC = "count({v}) AS n, round(avg({v}), 6) AS mean, round(median({v}), 6) AS median, round(stddev_samp({v}), 6) AS std, CAST(min({v}) AS DOUBLE) AS min, CAST(max({v}) AS DOUBLE) AS max"
+DESC = "count({v}) AS n, round(avg({v}), 6) AS mean, round(median({v}), 6) AS median, round(stddev_samp({v}), 6) AS std, round(CAST(min({v}) AS DOUBLE), 6) AS min, round(CAST(max({v}) AS DOUBLE), 6) AS max"
 
 
 def rounded(rows, *keep):

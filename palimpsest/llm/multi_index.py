@@ -21,7 +21,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -132,18 +132,25 @@ def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int = CENTR
     probe_ids, probe_q = probe["id"].to_numpy(np.int64), stack(probe["vec"], dim)
 
     def brute(batches):
+        found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in probe_ids]  # a task's best so far
         for pdf in batches:
-            if len(pdf):
-                x, ids, cell = stack(pdf["vec"], dim), pdf["id"].to_numpy(np.int64), (pdf["c1"] * k2 + pdf["c2"]).to_numpy()
-                rough = probe_q @ x.T
-                for i, own in enumerate(probe_ids.tolist()):
-                    s = np.where(ids == own, -np.inf, rough[i])
-                    top = best(s, ids, k)
-                    top = top[s[top] > -np.inf]
-                    yield pd.DataFrame({"query_id": own, "vec_id": ids[top], "score": s[top], "cell": cell[top]})
+            if not len(pdf):
+                continue
+            x, ids, cell = stack(pdf["vec"], dim), pdf["id"].to_numpy(np.int64), (pdf["c1"] * k2 + pdf["c2"]).to_numpy(np.int64)
+            rough = probe_q @ x.T
+            for i, own in enumerate(probe_ids.tolist()):
+                s = np.where(ids == own, -np.inf, rough[i])
+                top = best(s, ids, k)
+                top = top[s[top] > -np.inf]
+                both = [np.concatenate(p) for p in zip(found[i], (ids[top], s[top], cell[top]), strict=True)]
+                keep = best(both[1], both[0], k)
+                found[i] = tuple(p[keep] for p in both)
+        for own, (ids, s, cell) in zip(probe_ids.tolist(), found, strict=True):
+            yield pd.DataFrame({"query_id": own, "vec_id": ids, "score": s, "cell": cell})
 
     truth = coded.mapInPandas(brute, "query_id long, vec_id long, score double, cell int")
-    best_of = F.expr(f"slice(array_sort(collect_list(struct(-score AS s, vec_id, cell))), 1, {k})")  # bounded: k rows of each batch for a bounded number of queries
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    merged = truth.withColumn("nth", nth).where(F.col("nth") <= k).select("query_id", "cell").collect()  # CALIBRATION * k rows
     order = {}
     a, b = index.halves(probe_q, query=True)
     for i, own in enumerate(probe_ids.tolist()):
@@ -152,8 +159,7 @@ def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int = CENTR
             at[p[0] * k2 + p[1]] = seen
             seen += cells[p[0]][p[1]]
         order[own] = at
-    merged = truth.groupBy("query_id").agg(best_of.alias("top")).collect()
-    before = [order[r["query_id"]][t["cell"]] / total for r in merged for t in r["top"]]
+    before = [order[r["query_id"]][r["cell"]] / total for r in merged]
     share = float(np.quantile(before, recall)) if before else 1.0
     target = max(k + 1.0, share * total + 1)
 

@@ -22,6 +22,7 @@ tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -161,8 +162,10 @@ def _counters(described: DataFrame) -> np.ndarray:
         # only the order matters: 32 bits, saturated
         return pd.DataFrame({"block": [key[0]], "counts": [np.minimum(s, 2**32 - 1).astype("<u4").tobytes()]})
 
-    # two levels, so that no group holds a row of every task
-    first = described.where("block >= 0").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(8)))
+    # two levels of the square root of the tasks each, so that no group holds a row of every task
+    rows = described.where("block >= 0")
+    parts = max(8, math.isqrt(rows.where("block = 0").count()) + 1)
+    first = rows.withColumn("part", F.pmod(F.crc32("counts"), F.lit(parts)).cast("int"))
 
     def partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s = sum((_unpack(c) for c in pdf["counts"]), np.zeros(_BLOCK, np.int64))

@@ -1,15 +1,15 @@
 """Main text of web pages by equivalence-class template deduction (operator 2).
 
 1. Tokens: a page's elements by their path (tags with their classes), and its short text blocks outside an article by path and text.
-2. Occurrence vectors: how often each token occurs on each page of its host. Vectors aren't stored: the sum of a hash
-   of (page, count) over pages, with the numbers of pages and of occurrences, stands for one; sums combine in any order, so
-   a host of any size is counted with partial aggregation.
+2. Occurrence vectors: how often each token occurs on each page of its host. Pages of a host with equal text are copies of
+   one page and count once. Vectors aren't stored: the sum of a hash of (page, count) over pages, with the numbers of pages
+   and of occurrences, stands for one; sums combine in any order, so a host of any size is counted with partial aggregation.
 3. Equivalence classes: tokens of a host with the same vector. A class is valid if its tokens' paths nest, that is, each
    element token's parent belongs to a valid class that occurs at least as often; large and frequent classes (on half of
    the host's pages or more) nest into the host's template, those below are content. Text tokens in the template are
    boilerplate.
 4. Extraction: the template's slots are what its elements enclose. The main slot is that of article or main elements; without
-   them, the innermost template element that holds most of the host's text. Slots and elements for menus, headers, footers,
+   them, the innermost template element that encloses all text of the host that isn't boilerplate. Slots and elements for menus, headers, footers,
    sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. Null or empty
@@ -19,6 +19,7 @@ of its own name. Rows that repeat a page_id are extracted one by one. Empty tabl
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections import Counter
@@ -184,36 +185,58 @@ def host_column():
     return F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit("")), F.lit("?"))
 
 
+def text_token(b: Block) -> str:
+    return f"#{b.path}#{_hash(b.text()):016x}"
+
+
+def page_tokens(html: str) -> tuple[str, str]:
+    """(digest of a page's text and where it stands, its tokens as lines of token, count, characters of text in it)."""
+    blocks, tokens = read_page(html)
+    chars: Counter = Counter()
+    digest = hashlib.blake2b(digest_size=16)
+    for b in blocks:
+        if b.out:
+            continue
+        digest.update(f"{b.path}\n{b.text()}\n".encode("utf-8", "surrogatepass"))
+        path = b.path
+        size = len(b.raw)
+        chars["*"] += size
+        while path:
+            chars[path] += size
+            path = path.rpartition(">")[0]
+        if not b.main and size <= SHORT:
+            token = text_token(b)
+            tokens[token] += 1
+            chars[token] += size
+    tokens["*"] = 1
+    return digest.hexdigest(), "\n".join(f"{t} {n} {chars[t]}" for t, n in sorted(tokens.items()))
+
+
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, vector, chars) of every token of a host. pages: (page_id, host, html)."""
+    """(host, token, pages, total, vector, chars) of every token of a host; copies of a page count once. pages: (host, html)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(host, *page_tokens(html)) for host, html in zip(pdf["host"].tolist(), pdf["html"].tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["host", "digest", "tokens"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found: dict[tuple[str, str], list[int]] = {}
-            for page_id, host, html in zip(pdf["page_id"].tolist(), pdf["host"].tolist(), pdf["html"].tolist(), strict=True):
-                blocks, tokens = read_page(html)
-                chars: Counter = Counter()
-                for b in blocks:
-                    if b.out:
-                        continue
-                    path = b.path
-                    size = len(b.raw)
-                    while path:
-                        chars[path] += size
-                        path = path.rpartition(">")[0]
-                    if not b.main and size <= SHORT:
-                        tokens[f"#{b.path}#{_hash(b.text()):016x}"] += 1
-                tokens["*"] = 1
-                for token, count in tokens.items():
+            for host, digest, tokens in zip(pdf["host"].tolist(), pdf["digest"].tolist(), pdf["tokens"].tolist(), strict=True):
+                for line in tokens.split("\n"):
+                    token, count, size = line.rsplit(" ", 2)
                     s = found.setdefault((host, token), [0, 0, 0, 0])
                     s[0] += 1
-                    s[1] += count
-                    s[2] = (s[2] + _hash(page_id, count)) & ((1 << 62) - 1)
-                    s[3] += chars.get(token, 0)
+                    s[1] += int(count)
+                    s[2] = (s[2] + _hash(digest, count)) & ((1 << 62) - 1)
+                    s[3] += int(size)
             rows = [(h, t, *s) for (h, t), s in found.items()]
             yield pd.DataFrame(rows, columns=["host", "token", "pages", "total", "vector", "chars"])
 
-    rows = pages.mapInPandas(run, "host string, token string, pages long, total long, vector long, chars long")
+    # only tokens are shuffled, and copies meet before that; which copy's tokens stay doesn't depend on their order
+    distinct = pages.mapInPandas(read, "host string, digest string, tokens string").groupBy("host", "digest").agg(F.min("tokens").alias("tokens"))
+    rows = distinct.mapInPandas(run, "host string, token string, pages long, total long, vector long, chars long")
     # the sum of 62-bit numbers may not overflow a long: decimals, taken modulo 2^62 again
     vector = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(1 << 62).cast("decimal(38,0)")).cast("long")
     return rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), vector.alias("vector"), F.sum("chars").alias("chars"))
@@ -252,19 +275,32 @@ def deduce(tokens: list[tuple[str, int, int, int, int]], pages: int) -> tuple[st
     return slot, sorted(t for t in template if t.startswith("#"))
 
 
+def widened(slot: str, text: list[str], tokens: list[tuple[str, int, int, int, int]], chars: int) -> str:
+    """The innermost of a slot and what encloses it that has all the host's text (of so many characters) but boilerplate; '' for the page."""
+    size = {t: c for t, _, _, _, c in tokens}
+    whole = chars - sum(size[t] for t in text)
+    while slot:
+        inside = sum(size[t] for t in text if t.startswith((f"#{slot}#", f"#{slot}>")))
+        if size[slot] - inside >= whole:
+            break
+        slot = slot.rpartition(">")[0]
+    return slot
+
+
 def templates(vectors: DataFrame) -> DataFrame:
     """(host, slot, boilerplate) of every host of two pages or more. Frequent tokens only: at most 1 / SHARE pages' worth of them for a host."""
-    hosts = vectors.where("token = '*'").select("host", F.col("pages").alias("all_pages"))
+    hosts = vectors.where("token = '*'").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     need = F.greatest(F.ceil(F.col("all_pages") * SHARE), F.lit(LEAST_PAGES))
     frequent = vectors.where("token <> '*'").join(hosts, "host").where(F.col("pages") >= need)
-    grouped = frequent.groupBy("host").agg(F.first("all_pages").alias("all_pages"), F.collect_list(F.struct("token", "pages", "total", "vector", "chars")).alias("tokens"))
+    grouped = frequent.groupBy("host").agg(F.first("all_pages").alias("all_pages"), F.first("all_chars").alias("all_chars"), F.collect_list(F.struct("token", "pages", "total", "vector", "chars")).alias("tokens"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for host, pages, tokens in zip(pdf["host"], pdf["all_pages"], pdf["tokens"], strict=True):
-                slot, text = deduce([(t["token"], t["pages"], t["total"], t["vector"], t["chars"]) for t in tokens], pages)
-                rows.append((host, slot, text))
+            for host, pages, chars, tokens in zip(pdf["host"], pdf["all_pages"], pdf["all_chars"], pdf["tokens"], strict=True):
+                of_host = [(t["token"], t["pages"], t["total"], t["vector"], t["chars"]) for t in tokens]
+                slot, text = deduce(of_host, pages)
+                rows.append((host, widened(slot, text, of_host, chars), text))
             yield pd.DataFrame(rows, columns=["host", "slot", "boilerplate"])
 
     return grouped.mapInPandas(run, "host string, slot string, boilerplate array<string>")
@@ -281,7 +317,7 @@ def main_text(html: str, slot: str | None, boilerplate) -> str:
         if not there:
             if slot and not (b.path == slot or b.path.startswith(slot + ">")):
                 continue
-            if repeated and len(b.raw) <= SHORT and f"#{b.path}#{_hash(b.text()):016x}" in repeated:
+            if repeated and len(b.raw) <= SHORT and text_token(b) in repeated:
                 continue
         if text := b.text():
             parts.append(text)
@@ -293,7 +329,7 @@ def extract(pages: DataFrame) -> DataFrame:
     common.small_batches(pages.sparkSession, 500)
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host_column().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     with common.temporary(pages.sparkSession):
-        found = common.kept(templates(common.materialise(occurrence_vectors(rows.select("page_id", "host", "html")), "html-vectors")), "html-templates")
+        found = common.kept(templates(common.materialise(occurrence_vectors(rows.select("host", "html")), "html-vectors")), "html-templates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

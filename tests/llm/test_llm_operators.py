@@ -213,6 +213,16 @@ def test_html_template_without_article(spark):
     assert all(r["text"] == f"Own text {r['page_id']} of page {r['page_id']} that is long enough to matter most." for r in out.collect())
 
 
+def test_html_copies_are_no_template(spark):
+    page = '<html><body><div class="a"><h1>Heading %d</h1></div><div class="b"><p>Short paragraph %d.</p><p>%s</p></div><p>All rights reserved</p></body></html>'
+    copies = [(i, "http://two.example/%d" % i, page % (1, 1, "Same")) for i in range(2)]
+    group = [(10 + i, "http://many.example/%d" % i, page % (min(i, 4), min(i, 4), "word " * 99)) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(copies + group, "page_id long, url string, html string")).collect()}
+    assert out[0] == out[1] == "Heading 1 Short paragraph 1. Same All rights reserved"
+    for i in range(12):
+        assert out[10 + i] == f"Heading {min(i, 4)} Short paragraph {min(i, 4)}. " + " ".join(["word"] * 99)
+
+
 def test_html_classes_need_equal_vectors_and_nesting():
     v = lambda n, vector, chars=0: (n, n, vector, chars)
     tokens = [(">html", *v(10, 1, 900)), (">html>body", *v(10, 1, 900)), (">html>body>div.a", *v(10, 1, 850)), ("#>html>body#x", *v(9, 2)), (">x>orphan", *v(10, 1)), ("#>gone#y", *v(9, 3))]

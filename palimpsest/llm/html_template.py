@@ -1,16 +1,19 @@
 """Main text of web pages by equivalence-class template deduction (operator 2).
 
-1. Tokens: a page's elements by their path (tags with their classes), and its short text blocks outside an article by path and text.
+1. Tokens: a page's elements by their path (tags with their classes), and its short text blocks by path and text.
 2. Occurrence vectors: how often each token occurs on each page of its host. Pages of a host with equal text are copies of
    one page and count once. Vectors aren't stored: the sum of a hash of (page, count) over pages, with the numbers of pages
    and of occurrences, stands for one; sums combine in any order, so a host of any size is counted with partial aggregation.
 3. Equivalence classes: tokens of a host with the same vector. A class is valid if its tokens' paths nest, that is, each
    element token's parent belongs to a valid class that occurs at least as often; large and frequent classes (on half of
    the host's pages or more) nest into the host's template, those below are content. Text tokens in the template are
-   boilerplate.
-4. Extraction: the template's slots are what its elements enclose. The main slot is that of article or main elements; without
-   them, the innermost template element that encloses all text of the host that isn't boilerplate. Slots and elements for menus, headers, footers,
-   sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
+   boilerplate; inside an article only if on three distinct pages or more.
+4. Extraction: the template's slots are what its elements enclose. The main slot is the innermost template element that
+   encloses all text of the host that isn't boilerplate. Article and main elements are a hint: where they hold at least half of
+   that text, a page that has them is read from them alone; on a host where they hold less, as where articles are teasers,
+   they say nothing. A host with less than two distinct pages has no template, and its pages are read by the hint only.
+   Slots and elements for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+   left out wherever they stand.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. Null or empty
 html gives an empty text; markup that is cut or not closed is read as far as it goes. A null or odd url counts as a host
@@ -34,10 +37,14 @@ from . import common
 
 #: A token belongs to a template if it is on this share of the host's pages, and on this many, or all of fewer.
 SHARE, LEAST_PAGES = 0.5, 2
+#: Text inside article or main elements must be on this many distinct pages as well: two that share a passage quote it or are near copies.
+LEAST_PAGES_MAIN = 3
 #: Text blocks longer than this are never boilerplate by repetition.
 SHORT = 300
-#: The template element taken as main slot without an article holds this share of its parent's text.
+#: The template element in which the main slot is looked for holds this share of its parent's text.
 MOST = 0.8
+#: Article and main elements are followed if they hold this share of a host's text that isn't boilerplate.
+TAGGED = 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
@@ -186,7 +193,8 @@ def host_column():
 
 
 def text_token(b: Block) -> str:
-    return f"#{b.path}#{_hash(b.text()):016x}"
+    """A text block's token; m marks those in article or main elements."""
+    return f"#{b.path}#{_hash(b.text()):016x}{'m' * b.main}"
 
 
 def page_tokens(html: str) -> tuple[str, str]:
@@ -204,11 +212,13 @@ def page_tokens(html: str) -> tuple[str, str]:
         while path:
             chars[path] += size
             path = path.rpartition(">")[0]
-        if not b.main and size <= SHORT:
+        if b.main:
+            chars["*main"] += size
+        if size <= SHORT:
             token = text_token(b)
             tokens[token] += 1
             chars[token] += size
-    tokens["*"] = 1
+    tokens["*"] = tokens["*main"] = 1
     return digest.hexdigest(), "\n".join(f"{t} {n} {chars[t]}" for t, n in sorted(tokens.items()))
 
 
@@ -260,19 +270,16 @@ def deduce(tokens: list[tuple[str, int, int, int, int]], pages: int) -> tuple[st
             if nests and (path in info and info[path][0] >= p or not path):
                 template.add(t)
     elements = {t for t in template if t.startswith(">")}
-    if any(re.search(r">(article|main)\b[^>]*$", t) for t in elements):
-        slot = ""  # pages have it themselves
-    else:
-        slot, whole = "", max((info[t][3] for t in elements if t.count(">") == 1), default=0)
-        while whole:
-            inner = [t for t in elements if t.rpartition(">")[0] == slot and info[t][1] <= 2 * info[t][0]]
-            if not inner:
-                break
-            top = max(inner, key=lambda t: (info[t][3], t))
-            if info[top][3] < MOST * whole:
-                break
-            slot, whole = top, info[top][3]
-    return slot, sorted(t for t in template if t.startswith("#"))
+    slot, whole = "", max((info[t][3] for t in elements if t.count(">") == 1), default=0)
+    while whole:
+        inner = [t for t in elements if t.rpartition(">")[0] == slot and info[t][1] <= 2 * info[t][0]]
+        if not inner:
+            break
+        top = max(inner, key=lambda t: (info[t][3], t))
+        if info[top][3] < MOST * whole:
+            break
+        slot, whole = top, info[top][3]
+    return slot, sorted(t for t in template if t.startswith("#") and (not t.endswith("m") or info[t][0] >= LEAST_PAGES_MAIN))
 
 
 def widened(slot: str, text: list[str], tokens: list[tuple[str, int, int, int, int]], chars: int) -> str:
@@ -287,38 +294,45 @@ def widened(slot: str, text: list[str], tokens: list[tuple[str, int, int, int, i
     return slot
 
 
+def tagged(text: list[str], tokens: list[tuple[str, int, int, int, int]], chars: int, main: int) -> bool:
+    """Whether article and main elements (with so many of a host's characters) hold enough of its text that isn't boilerplate."""
+    size = {t: c for t, _, _, _, c in tokens}
+    return main - sum(size[t] for t in text if t.endswith("m")) >= TAGGED * (chars - sum(size[t] for t in text))
+
+
 def templates(vectors: DataFrame) -> DataFrame:
-    """(host, slot, boilerplate) of every host of two pages or more. Frequent tokens only: at most 1 / SHARE pages' worth of them for a host."""
-    hosts = vectors.where("token = '*'").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
+    """(host, slot, tagged, boilerplate) of every host of two pages or more. Frequent tokens only: at most 1 / SHARE pages' worth of them for a host."""
+    whole, main = F.col("token") == "*", F.col("token") == "*main"
+    hosts = vectors.where(whole | main).groupBy("host").agg(*(F.max(F.when(a, F.col(b))).alias(c) for a, b, c in ((whole, "pages", "all_pages"), (whole, "chars", "all_chars"), (main, "chars", "main_chars"))))
     need = F.greatest(F.ceil(F.col("all_pages") * SHARE), F.lit(LEAST_PAGES))
-    frequent = vectors.where("token <> '*'").join(hosts, "host").where(F.col("pages") >= need)
-    grouped = frequent.groupBy("host").agg(F.first("all_pages").alias("all_pages"), F.first("all_chars").alias("all_chars"), F.collect_list(F.struct("token", "pages", "total", "vector", "chars")).alias("tokens"))
+    frequent = vectors.where(~whole & ~main).join(hosts, "host").where(F.col("pages") >= need)
+    grouped = frequent.groupBy("host").agg(*(F.first(c).alias(c) for c in ("all_pages", "all_chars", "main_chars")), F.collect_list(F.struct("token", "pages", "total", "vector", "chars")).alias("tokens"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for host, pages, chars, tokens in zip(pdf["host"], pdf["all_pages"], pdf["all_chars"], pdf["tokens"], strict=True):
+            for host, pages, chars, main, tokens in zip(pdf["host"], pdf["all_pages"], pdf["all_chars"], pdf["main_chars"], pdf["tokens"], strict=True):
                 of_host = [(t["token"], t["pages"], t["total"], t["vector"], t["chars"]) for t in tokens]
                 slot, text = deduce(of_host, pages)
-                rows.append((host, widened(slot, text, of_host, chars), text))
-            yield pd.DataFrame(rows, columns=["host", "slot", "boilerplate"])
+                rows.append((host, widened(slot, text, of_host, chars), tagged(text, of_host, chars, main), text))
+            yield pd.DataFrame(rows, columns=["host", "slot", "tagged", "boilerplate"])
 
-    return grouped.mapInPandas(run, "host string, slot string, boilerplate array<string>")
+    return grouped.mapInPandas(run, "host string, slot string, tagged boolean, boilerplate array<string>")
 
 
-def main_text(html: str, slot: str | None, boilerplate) -> str:
+def main_text(html: str, slot: str | None, boilerplate, hint: bool = True) -> str:
+    """The text of a page in its host's main slot, or with the hint in article and main elements where it has them, without boilerplate."""
     blocks, _ = read_page(html)
-    there = any(b.main for b in blocks)
+    there = hint and any(b.main for b in blocks)
     repeated = frozenset(boilerplate if boilerplate is not None else ())
     parts = []
     for b in blocks:
         if b.out or (there and not b.main):
             continue
-        if not there:
-            if slot and not (b.path == slot or b.path.startswith(slot + ">")):
-                continue
-            if repeated and len(b.raw) <= SHORT and text_token(b) in repeated:
-                continue
+        if not there and slot and not (b.path == slot or b.path.startswith(slot + ">")):
+            continue
+        if repeated and len(b.raw) <= SHORT and text_token(b) in repeated:
+            continue
         if text := b.text():
             parts.append(text)
     return " ".join(parts)
@@ -333,11 +347,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [main_text(h, s if isinstance(s, str) else None, b) for h, s, b in zip(pdf["html"], pdf["slot"], pdf["boilerplate"], strict=True)]
+            text = [main_text(h, s if isinstance(s, str) else None, b, t) for h, s, t, b in zip(pdf["html"], pdf["slot"], pdf["tagged"].tolist(), pdf["boilerplate"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": np.array([len(t) for t in text], np.int64)})
 
     # Spark broadcasts the templates while their files are below the broadcast threshold; else adaptive execution splits hot hosts
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "boilerplate")
+    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", F.coalesce("tagged", F.lit(True)).alias("tagged"), "boilerplate")
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -223,6 +223,16 @@ def test_html_copies_are_no_template(spark):
         assert out[10 + i] == f"Heading {min(i, 4)} Short paragraph {min(i, 4)}. " + " ".join(["word"] * 99)
 
 
+def test_html_template_inside_article(spark):
+    page = '<html><body><article><h1>Head %d</h1><p>Own text of page %d.</p><p class="x">Tell your friends about us</p></article></body></html>'
+    teasers = '<html><body><article><p>Teaser %d</p></article><div class="body"><p>The whole story of page %d stands outside the tag.</p></div></body></html>'
+    rows = [(i, "http://share.example/%d" % i, page % (i, i)) for i in range(8)] + [(10 + i, "http://teaser.example/%d" % i, teasers % (i, i)) for i in range(8)]
+    out = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert out[i] == f"Head {i} Own text of page {i}."
+        assert out[10 + i] == f"Teaser {i} The whole story of page {i} stands outside the tag."
+
+
 def test_html_classes_need_equal_vectors_and_nesting():
     v = lambda n, vector, chars=0: (n, n, vector, chars)
     tokens = [(">html", *v(10, 1, 900)), (">html>body", *v(10, 1, 900)), (">html>body>div.a", *v(10, 1, 850)), ("#>html>body#x", *v(9, 2)), (">x>orphan", *v(10, 1)), ("#>gone#y", *v(9, 3))]

@@ -137,25 +137,27 @@ def _field_date(v: Column, key: str) -> Column:
     one, two, year = (F.get(f, i).cast("long") for i in range(3))
     low = lambda x: F.when(x <= 12, 1).when(x <= 28, 13).otherwise(x).cast("long")
     size = lambda x: F.when(x <= 12, 12).when(x <= 28, 16).otherwise(1).cast("long")
-    leap = F.greatest(one, two) == 29  # 29 days: years that have them, 1904 to 2096, in case the month is or becomes February
-    first, step, years = F.when(leap, 1904).otherwise(1700).cast("long"), F.when(leap, 4).otherwise(1).cast("long"), F.when(leap, 49).otherwise(400).cast("long")
+    leap = (F.greatest(one, two) == 29) & (F.least(one, two) == 2)  # 29 February: the 97 leap years, counted from 1704 by fours without 1800 and 1900
+    fours = F.floor((year - 1704) / 4)
+    nth = F.when(leap, fours - (fours > 24).cast("long") - (fours > 49).cast("long")).otherwise(year - 1700).cast("long")
+    years = F.when(leap, 97).otherwise(400).cast("long")
     keep = F.greatest(one, two) >= 29  # the month must keep its number of days
     size_of = lambda x: F.when(keep, F.lit(1)).otherwise(size(x)).cast("long")
     low_of = lambda x: F.when(keep, x).otherwise(low(x)).cast("long")
     tweak = F.concat_ws(",", low_of(one).cast("string"), low_of(two).cast("string"), sign)
-    new = feistel(_numbers(one - low_of(one), F.floor((year - first) / step), two - low_of(two)), F.array(size_of(one), years, size_of(two)), "date", key, tweak)
+    new = feistel(_numbers(one - low_of(one), nth, two - low_of(two)), F.array(size_of(one), years, size_of(two)), "date", key, tweak)
+    made = F.get(new, 1)
+    made_year = F.when(leap, (made + (made >= 24).cast("long") + (made >= 48).cast("long")) * 4 + 1704).otherwise(made + 1700)
     padded = v.rlike(r"^0|[./]0|^..[./]..[./]")
     show = lambda x: F.when(padded, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
-    return F.concat(show(F.get(new, 0) + low_of(one)), sign, show(F.get(new, 2) + low_of(two)), sign, (F.get(new, 1) * step + first).cast("string"))
+    return F.concat(show(F.get(new, 0) + low_of(one)), sign, show(F.get(new, 2) + low_of(two)), sign, made_year.cast("string"))
 
 
 def _valid_field_date(v: Column) -> Column:
     f = F.split(v, "[./]")
     one, two, year = F.get(f, 0).cast("int"), F.get(f, 1).cast("int"), F.get(f, 2).cast("int")
     day, month = F.greatest(one, two), F.least(one, two)
-    real = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd").isNotNull()
-    odd = (day == 29) & ((year < 1904) | (year > 2096) | (F.pmod(year, F.lit(4)) != 0))
-    return (month <= 12) & real & ~odd
+    return (month <= 12) & F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd").isNotNull()
 
 
 def _whole(pattern: str) -> str:

@@ -304,6 +304,21 @@ def test_feistel_is_a_permutation(spark):
         assert 1700 <= y <= 2099 and min(a, b) >= 1 and min(a, b) <= 12 and max(a, b) <= 28
 
 
+def test_pseudonyms_of_day_29(spark):
+    import calendar
+    import datetime
+
+    other = [t for y in (1700, 1900, 1987, 2021, 2099) for t in (f"29/03/{y}", f"29.11.{y}", f"7/29/{y}")]
+    leap = [f"29/02/{y}" for y in range(1700, 2100) if calendar.isleap(y)]
+    got = pseudo(spark, *other, *leap)
+    assert all(n == 1 or t == old for (t, n), old in zip(got, other + leap, strict=True)) and sum(n for _, n in got[: len(other)]) == len(other)
+    assert len(leap) == 97 and sorted(t for t, _ in got[len(other) :]) == leap and sum(n for _, n in got[len(other) :]) == 97
+    for (t, _), old in zip(got, other + leap, strict=True):
+        a, b, y = map(int, re.split("[./]", t))
+        assert datetime.date(y, min(a, b), max(a, b)).day == 29 and 1700 <= y <= 2099 and re.sub(r"\d{4}$", "", t) == re.sub(r"\d{4}$", "", old)
+    assert pseudo(spark, "29/02/2021", "29.02.1900") == [("29/02/2021", 0), ("29.02.1900", 0)]
+
+
 def test_pseudonyms_keep_everything_else(spark):
     clean = ["4111111111111112", "999.1.1.1 and 1.2.3.4.5", 'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "Version 2.0, 2021-02-29 and 30/02/1999", "000-12-3456", "a@b", "", "3.14159265358979"]
     assert pseudo(spark, *clean) == [(t, 0) for t in clean]

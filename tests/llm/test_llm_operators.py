@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -200,10 +201,105 @@ TEXT = "The head %d One bold&italic line Two <tag> é %d item one item two"
 
 
 def test_html_page():
-    assert html_template.main_text(PAGE % (1, 2), None, None) == TEXT % (1, 2)
-    assert html_template.main_text("", None, None) == "" and html_template.main_text("plain <b>text", None, None) == "plain text"
-    assert html_template.main_text("<article><p>cut &am", None, None) == "cut &am" and html_template.main_text("<article>a<p>b <span clas", None, None) == "a b"
-    assert html_template.main_text("<p>" * 20000 + "deep", None, None) == "deep"
+    assert html_template.main_text(PAGE % (1, 2)) == TEXT % (1, 2)
+    assert html_template.main_text("") == "" and html_template.main_text("plain <b>text") == "plain text"
+    assert html_template.main_text("<article><p>cut &am") == "cut &am" and html_template.main_text("<article>a<p>b <span clas") == "a b"
+    assert html_template.main_text("<p>" * 20000 + "deep") == "deep"
+
+
+def test_html_of_great_depth_takes_linear_time():
+    began = time.time()
+    for page in ("<div class=wrapper>" * 10000 + "deep", "<div><a>" * 10000 + "</b></a>" * 10000 + "deep"):
+        assert html_template.main_text(page) == "deep" and len(html_template.page_tokens(page)[1]) < 10000 * 3 + 10
+    assert time.time() - began < 4  # about 1 s
+
+
+def test_html_names_are_hints():
+    assert html_template.main_text('<form class="notice"><h1>Head</h1><p>In a form around it all</p></form><form>Name</form>') == "Head In a form around it all"
+    assert html_template.main_text('<div class="cookie">Nothing else</div>') == "Nothing else"
+    site = '<html><body><div class="a"><h1>Head %d</h1><p>Own text %d that is longer than the rest of it.</p>%s<div class="share">Share %d</div></div></body></html>'
+    rows = [(i, f"http://n.example/{i}", site % (i, i, '<p class="notice">A notice of its own</p>' if i == 3 else "", i)) for i in range(8)]
+    assert local_texts(rows)[2] == "Head 2 Own text 2 that is longer than the rest of it."
+    assert local_texts(rows)[3] == "Head 3 Own text 3 that is longer than the rest of it. A notice of its own"
+
+
+def host_tokens(rows):
+    """host -> digest -> tokens of (page_id, url, html) rows, each copy of a page once."""
+    hosts = {}
+    for _, url, page in rows:
+        digest, tokens = html_template.page_tokens(page or "")
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", url or "")
+        hosts.setdefault((m[1].lower() if m else "") or "?", {}).setdefault(digest, tokens)
+    return hosts
+
+
+def brute_classes(pages):
+    """(kind, token) -> its whole occurrence vector over a host's distinct pages."""
+    vectors = {}
+    for i, tokens in enumerate(pages.values()):
+        for r in tokens.tolist():
+            vectors.setdefault((r[0], r[1]), [0] * len(pages))[i] = r[6]
+    return vectors
+
+
+def local_texts(rows, empty=False):
+    """Main texts by deduction from whole occurrence vectors, without Spark."""
+    templates = {}
+    for host, pages in host_tokens(rows).items():
+        if len(pages) < 2:
+            continue
+        vectors, places, chars = brute_classes(pages), {}, Counter()
+        for tokens in pages.values():
+            for r in tokens.tolist():
+                place = places.setdefault((r[0], r[1]), r[2:6])
+                places[r[0], r[1]] = [min(x) for x in zip(place, r[2:6], strict=True)]
+                chars[r[0], r[1]] += r[7]
+        numbers = {v: i for i, v in enumerate(sorted({tuple(v) for v in vectors.values()}))}
+        found = [
+            dict(zip(("parent", "parent_last", "parent_first", "flags"), places[t], strict=True)) | {"kind": t[0], "token": t[1], "pages": sum(map(bool, v)), "total": sum(v), "vector": numbers[tuple(v)], "chars": chars[t]}
+            for t, v in vectors.items() if t != (0, 0) and sum(map(bool, v)) >= max(2, len(pages) / 2)
+        ]
+        t = html_template.deduce(found, len(pages), chars[0, 0])
+        templates[host] = html_template.Template(t.kind, t.chain, frozenset(t.boilerplate), frozenset(t.named))
+    if empty:
+        templates = dict.fromkeys(templates)
+    return {key: html_template.main_text(page or "", templates.get(next(iter(host_tokens([(key, url, page)]))))) for key, url, page in rows}
+
+
+def article_text(page):
+    inner = re.search("<article>(.*)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"</?(?:h1|p|br)\b[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+
+
+def test_html_template_decides_without_names(spark):
+    """Pages of the table without article, nav, footer and class names: only the deduced slots tell the article from the rest."""
+    sf = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"select page_id, url, html from '{sf}/pages.parquet'").fetchall()
+    plain = [(k, u, re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|header|aside)\b[^>]*>", r"<\1div>", h))) for k, u, h in rows]
+    several = {host for host, pages in host_tokens(plain).items() if len(pages) >= 4}
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(plain, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == local_texts(plain)
+    want = {k: article_text(h) for k, u, h in rows if next(iter(host_tokens([(k, u, h)]))) in several}
+    without = local_texts(plain, empty=True)
+    assert len(want) > 100 and sum(got[k] == t for k, t in want.items()) >= 0.98 * len(want)
+    assert not any(without[k] == t for k, t in want.items())  # nothing is right without templates
+
+
+def test_html_occurrence_vectors(spark, tiny):
+    rows = duckdb.sql(f"select page_id, url, html from '{tiny}/pages.parquet'").fetchall()
+    rows += [(1000 + i, u, h) for i, (_, u, h) in enumerate(rows[:20])]  # copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select(html_template.host_column().alias("host"), "html").repartition(4)
+    got = {}
+    for r in html_template.occurrence_vectors(df).collect():
+        got.setdefault(r["host"], {})[r["kind"], r["token"] & (2**64 - 1)] = (r["pages"], r["total"], r["vector"])
+    hosts = host_tokens(rows)
+    assert set(got) == set(hosts)
+    for host, pages in hosts.items():
+        want = brute_classes(pages)
+        assert set(got[host]) == set(want)
+        assert all(got[host][t][:2] == (sum(map(bool, v)), sum(v)) for t, v in want.items())
+        groups = lambda x: {frozenset(t for t in x if x[t] == v) for v in set(x.values())}
+        assert groups(got[host]) == groups({t: tuple(v) for t, v in want.items()})
 
 
 def test_html_template_without_article(spark):
@@ -223,6 +319,16 @@ def test_html_copies_are_no_template(spark):
         assert out[10 + i] == f"Heading {min(i, 4)} Short paragraph {min(i, 4)}. " + " ".join(["word"] * 99)
 
 
+def test_html_shared_passages_are_no_template():
+    """A passage that most pages of a host quote, without markup of its own, stays; a notice with its own markup goes."""
+    page = "<html><body><div class=a><h1>Head %d</h1><p>Own text of page %d, which is long enough.</p>%s</div>%s</body></html>"
+    quote, notice = "<p>A passage that many pages quote.</p>", "<section class=x><p>Our terms have changed.</p></section>"
+    rows = [(i, f"http://q.example/{i}", page % (i, i, quote if i % 5 else "", notice if i % 4 else "")) for i in range(20)]
+    out = local_texts(rows)
+    for i in range(20):
+        assert out[i] == f"Head {i} Own text of page {i}, which is long enough." + (" A passage that many pages quote." if i % 5 else "")
+
+
 def test_html_template_inside_article(spark):
     page = '<html><body><article><h1>Head %d</h1><p>Own text of page %d.</p><p class="x">Tell your friends about us</p></article></body></html>'
     teasers = '<html><body><article><p>Teaser %d</p></article><div class="body"><p>The whole story of page %d stands outside the tag.</p></div></body></html>'
@@ -234,18 +340,24 @@ def test_html_template_inside_article(spark):
 
 
 def test_html_classes_need_equal_vectors_and_nesting():
-    v = lambda n, vector, chars=0: (n, n, vector, chars)
-    tokens = [(">html", *v(10, 1, 900)), (">html>body", *v(10, 1, 900)), (">html>body>div.a", *v(10, 1, 850)), ("#>html>body#x", *v(9, 2)), (">x>orphan", *v(10, 1)), ("#>gone#y", *v(9, 3))]
-    slot, text = html_template.deduce(tokens, 10)
-    assert slot == ">html>body>div.a" and text == ["#>html>body#x"]
+    def token(kind, name, parent, n, vector, chars=0, flags=html_template.IS_CONTAINER, total=None):
+        return {"kind": kind, "token": name, "parent": parent, "parent_last": 0, "parent_first": 0, "flags": flags, "pages": n, "total": total or n, "vector": vector, "chars": chars}
+
+    # html, body, a container with nearly all text, paragraphs in it; a text with its section; a text without; an element whose parent isn't in the template
+    tokens = [
+        token(0, 1, 0, 10, 1, 900), token(0, 2, 1, 10, 1, 900), token(0, 3, 2, 10, 1, 850), token(0, 4, 3, 10, 5, 840, 0, 70), token(0, 5, 2, 9, 2, 20),
+        token(3, 50, 5, 9, 2, 20, 0), token(3, 51, 3, 9, 3, 20, 0), token(3, 52, 2, 10, 1, 15, 0), token(0, 7, 6, 10, 1, 890), token(3, 53, 6, 9, 2, 10, 0),
+    ]
+    assert html_template.deduce(tokens, 10, 900) == html_template.Template(html_template.LABELS, [1, 2, 3], [50, 52], [])
+    assert html_template.deduce([], 10, 900) == html_template.Template(html_template.LABELS, [], [], [])
+    assert html_template.unpacked(html_template.packed(html_template.Template(1, [5, -1], [7], [8, 9]))) == (1, [5, 2**64 - 1], {7}, {8, 9})
 
 
 def test_html_query_and_odd_tables(spark, tiny):
     pages = duckdb.sql(f"select page_id, html from '{tiny}/pages.parquet'").fetchall()
     got = {r["page_id"]: r for r in html_template.op2_html_template(spark, tiny).collect()}
     for key, page in pages:
-        inner = re.search("<article>(.*)</article>", page, re.S)[1]
-        want = " ".join(html.unescape(re.sub(r"</?(?:h1|p|br)\b[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+        want = article_text(page)
         assert got[key]["text"] == want and got[key]["n_chars"] == len(want)
     rows = [(1, None, None), (2, "odd", ""), (3, "http://h.example/", PAGE % (1, 1)), (3, "http://h.example/", PAGE % (1, 1)), (None, "http://h.example/", "<p>x" + "y " * 100000)]
     odd = with_extras(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import importable
 from ..shared import scratch, table
 
-__all__ = ["free_name", "importable", "kept", "materialise", "open_output", "remove", "scratch", "small_batches", "table", "temporary", "valid_vectors"]
+__all__ = ["free_name", "importable", "kept", "materialise", "open_input", "open_output", "remove", "scratch", "small_batches", "table", "temporary", "valid_vectors"]
 
 #: Scratch tables of the operators that run just now, innermost last.
 _scopes: list[list[str]] = []
@@ -62,19 +62,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def _located(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
+
+
 def open_output(uri: str):
     """A writable stream for a whole file at a URI or path, through pyarrow's file systems; it appears under its name on close only."""
-    from pyarrow import fs
+    return _Whole(*_located(uri))
+
 
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
-    return _Whole(system, path)
+def open_input(uri: str):
+    """A readable file with random access, at a URI or path that open_output() wrote."""
+    system, path = _located(uri)
+    return system.open_input_file(path)
 
 
 class _Whole:
     """Write to a name of its own, then rename: a retried or repeated task replaces the file, never mixes with it."""
 
     def __init__(self, system, path: str):
-        self.system, self.path, self.part = system, path, f"{path}.{uuid.uuid4().hex}.tmp"
+        self.system, self.path, self.part = system, path, f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}.tmp"
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out = system.open_output_stream(self.part, compression=None)
 

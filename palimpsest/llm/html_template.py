@@ -417,7 +417,7 @@ def templates(vectors: DataFrame) -> DataFrame:
     whole = (F.col("kind") == LABELS) & (F.col("token") == 0)
     hosts = vectors.where(whole).select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     need = F.greatest(F.ceil(F.col("all_pages") * SHARE), F.lit(LEAST_PAGES))
-    frequent = vectors.where(~whole).join(hosts, "host").where(F.col("pages") >= need)
+    frequent = vectors.where(~whole & (F.col("pages") >= LEAST_PAGES)).join(hosts, "host").where(F.col("pages") >= need)
     columns = [c for c in _TOKENS.replace(",", "").split(" ")[2::2]]
     grouped = frequent.groupBy("host").agg(F.first("all_pages").alias("all_pages"), F.first("all_chars").alias("all_chars"), F.collect_list(F.struct(*columns)).alias("tokens"))
 

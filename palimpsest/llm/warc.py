@@ -3,10 +3,12 @@
 Writing: each task writes its rows as gzip members, one record each, into archives of bounded size. Reading: members are
 decoded one after another; where a check fails (not a gzip member, a broken stream, a checksum, a record header, a
 digest) the reader searches for the next gzip magic or the next version line, goes on from there, and reports the bytes
-between as a quarantined gap.
+between as a quarantined gap. Records before the damage in a member, and after a bad one in it, are kept. Time is in
+proportion to an archive's bytes.
 
 Null html is an empty payload. Null page_ids are written and read back as null; within a group of equal payloads nulls count
-as smallest. Rows that share the largest page_id of their group are all responses. Empty tables give no archives and no
+as smallest. Rows that share the largest page_id of their group are all responses. A very long text is one record, in an archive that
+is as much larger. Empty tables give no archives and no
 rows; extra columns are ignored.
 """
 
@@ -29,7 +31,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 1000
-_VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
+_VERSION_LINE, _BLANK, _MAGIC = re.compile(rb"WARC/\d\.\d\r\n"), re.compile(rb"\r\n\r\n"), re.compile(re.escape(MAGIC))
 
 
 def record(kind: str, headers: dict[str, str], body: bytes) -> bytes:
@@ -42,12 +44,26 @@ def member(data: bytes, level: int = 3) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, body and length of the record that begins data; ValueError where it isn't whole."""
-    if not (m := _VERSION_LINE.match(data)):
+class Next:
+    """Places of a pattern in data, each looked for once: calls go forward."""
+
+    def __init__(self, pattern: re.Pattern, data: bytes):
+        self.pattern, self.data, self.at = pattern, data, -1
+
+    def __call__(self, at: int) -> int:
+        """The first place at or after `at`; the end of the data if there is none."""
+        if self.at < at:
+            m = self.pattern.search(self.data, at)
+            self.at = m.start() if m else len(self.data)
+        return self.at
+
+
+def parse(data: bytes, at: int, blank: Next) -> tuple[dict[str, str], bytes, int, bool]:
+    """Headers, body, length and whether a digest vouches for the record at `at`; ValueError where it isn't whole. blank: the empty lines of data."""
+    if not (m := _VERSION_LINE.match(data, at)):
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
+    end = blank(m.end() - 2)
+    if end >= len(data):
         raise ValueError("no end of headers")
     headers = {}
     for line in data[m.end() : end].split(b"\r\n"):
@@ -56,58 +72,111 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
             raise ValueError("header without colon")
         headers[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
-    if not size.isdigit():
+    if not (size.isascii() and size.isdigit()):
         raise ValueError("no content length")
     start, stop = end + 4, end + 4 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("record is cut")
     body = data[start:stop]
-    if (want := headers.get("warc-block-digest")) and want != "sha1:" + hashlib.sha1(body).hexdigest():
+    want = headers.get("warc-block-digest")
+    if want and want != "sha1:" + hashlib.sha1(body).hexdigest():
         raise ValueError("block digest differs")
-    return headers, body, stop + 4
+    return headers, body, stop + 4 - at, bool(want)
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The plain bytes of the gzip member at `at` and its length; fed in steps, so that the rest isn't copied for every member."""
+#: Bytes that are inflated at a time, and in which steps again where that fails, so that all before the damage is read.
+_STEPS = (1 << 16, 1 << 10, 1 << 5, 1)
+
+
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The plain bytes of the gzip member at `at`, its length, and what is wrong with it ('': nothing). Of a damaged member what comes before the damage."""
     z, out, pos = zlib.decompressobj(31), [], at
-    while pos < len(data) and not z.eof:
-        out.append(z.decompress(data[pos : pos + (1 << 16)]))
-        pos += 1 << 16
+    for step in _STEPS:
+        try:
+            while pos < len(data) and not z.eof:
+                before = z.copy()
+                out.append(z.decompress(data[pos : pos + step]))
+                pos += step
+            break
+        except zlib.error as e:
+            z, wrong = before, str(e)
+    else:
+        return b"".join(out), pos - at, wrong
     if not z.eof:
-        raise ValueError("member is cut")
-    return b"".join(out), min(pos, len(data)) - at - len(z.unused_data)
+        return b"".join(out), len(data) - at, "member is cut"
+    return b"".join(out), min(pos, len(data)) - at - len(z.unused_data), ""
+
+
+def records(data: bytes, trusted: bool = True) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
+    """('record', offset, length, headers, body) and ('gap', offset, length, {'reason': ...}, b'') of plain bytes; untrusted bytes need digests."""
+    line, blank = Next(_VERSION_LINE, data), Next(_BLANK, data)
+    at, bad, why = 0, -1, ""
+    while at < len(data):
+        try:
+            headers, body, size, vouched = parse(data, at, blank)
+            if not (trusted or vouched):
+                raise ValueError("no digest in a damaged member")
+        except ValueError as e:
+            if bad < 0:
+                bad, why = at, str(e)
+            at = line(at + 1)
+            continue
+        if bad >= 0:
+            yield "gap", bad, at - bad, {"reason": why}, b""
+            bad = -1
+        yield "record", at, size, headers, body
+        at += size
+    if bad >= 0:
+        yield "gap", bad, len(data) - bad, {"reason": why}, b""
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """('record', offset, length, headers, body) and ('gap', offset, length, {'reason': ...}, b'') in file order, covering every byte."""
+    """('record', offset, length, headers, body) and ('gap', offset, length, {'reason': ...}, b'') in file order.
+
+    Records of a gzip member have its offset and length. Whole members, plain records and gaps between them cover every byte of the file
+    once. What is missing inside a member that inflates whole is a gap with the member's offset and length 0, and `inner`, its place
+    in the plain bytes. Of a damaged member the records before the damage are kept (with length 0, since its bytes are a gap):
+    all whole ones if it was only cut, else those with a digest, since bytes before a found error may be wrong already.
+    """
+    magic, line, blank = Next(_MAGIC, data), Next(_VERSION_LINE, data), Next(_BLANK, data)
     at, n, bad, why = 0, len(data), -1, ""
+    until, kept = 0, []  # where a damaged member was read to, and its records: stored blocks show them once more
+
+    def inside(plain: bytes, at: int, size: int, trusted: bool = True) -> Iterator:
+        for kind, start, length, headers, body in records(plain, trusted):
+            yield kind, at, size if kind == "record" else 0, headers if kind == "record" else headers | {"inner": f"{start}+{length}"}, body
+
     while at < n:
-        found, size, reason = [], 0, "no member or version line"
-        try:
-            if data.startswith(MAGIC, at):
-                plain, size = inflate(data, at)
-                pos = 0
-                while pos < len(plain):
-                    headers, body, used = parse(plain[pos:] if pos else plain)
-                    found.append((headers, body))
-                    pos += used
-            elif _VERSION_LINE.match(data, at):
-                headers, body, size = parse(data[at:])
-                found = [(headers, body)]
-        except (ValueError, zlib.error) as e:
-            found, reason = [], str(e)
-        if found:
-            if bad >= 0:
-                yield "gap", bad, at - bad, {"reason": why}, b""
-                bad = -1
-            for headers, body in found:
-                yield "record", at, size, headers, body
-            at += size
+        found, size, reason = None, 0, "no member or version line"
+        if data.startswith(MAGIC, at):
+            plain, size, reason = inflate(data, at)
+            if reason:
+                new = [r for r in inside(plain, at, 0, reason == "member is cut") if r[0] == "record" and not (at < until and r[3:] in kept)]
+                if new:
+                    until, kept = at + size, [r[3:] for r in new]
+                    if bad >= 0 and bad < at:
+                        yield "gap", bad, at - bad, {"reason": why}, b""
+                    bad = -1
+                    yield from new
+            else:
+                found = inside(plain, at, size) if plain else iter(())
+        elif _VERSION_LINE.match(data, at):
+            try:
+                headers, body, size, _ = parse(data, at, blank)
+                if not (at < until and (headers, body) in kept):
+                    found = iter([("record", at, size, headers, body)])
+            except ValueError as e:
+                reason = str(e)
+        if found is None:
+            if bad < 0:
+                bad, why = at, reason
+            at = min(magic(at + 1), line(at + 1))
             continue
-        if bad < 0:
-            bad, why = at, reason
-        line = _VERSION_LINE.search(data, at + 1)
-        at = min((x for x in (data.find(MAGIC, at + 1), line.start() if line else -1) if x > at), default=n)
+        if bad >= 0:
+            yield "gap", bad, at - bad, {"reason": why}, b""
+            bad = -1
+        yield from found
+        at += size
     if bad >= 0:
         yield "gap", bad, n - bad, {"reason": why}, b""
 
@@ -144,64 +213,85 @@ def page_record(page: str | None, url: str | None, payload: bytes, digest: str,
     return record("revisit" if refers else "response", headers, body)
 
 
-def write_archives(classified: DataFrame, out: str, archive_bytes: int = 8 << 20, date: str = "1970-01-01T00:00:00Z") -> list[str]:
-    """Write archives of about archive_bytes under `out`; the names of the files, one for each."""
+def write_archives(classified: DataFrame, out: str, archive_bytes: int = 8 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Write archives of about archive_bytes under `out`; their manifest (name, records, bytes) is a written table.
+
+    File names hold a number of the attempt of the task that wrote them, and the manifest names those of successful attempts only: what a
+    lost or repeated attempt leaves behind is never read.
+    """
     common.small_batches(classified.sparkSession)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, n, f, size, names = TaskContext.get().partitionId(), 0, None, 0, []
+        task, attempt, n, f, size, count = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, None, 0, 0
         for pdf in batches:
             for page, url, html, digest, refers in pdf.itertuples(index=False, name=None):
                 if f is None:
-                    names.append(f"{task:07d}-{n:05d}.warc.gz")
-                    f, size, n = common.open_output(f"{out}/{names[-1]}"), 0, n + 1
+                    name, n = f"{task:07d}-{n:05d}-{attempt}.warc.gz", n + 1
+                    f, size, count = common.open_output(f"{out}/{name}"), 0, 0
                 data = member(page_record(page, url, html.encode("utf-8"), digest, refers, date))
                 f.write(data)
-                size += len(data)
+                size, count = size + len(data), count + 1
                 if size >= archive_bytes:
                     f.close()
                     f = None
+                    yield pd.DataFrame({"name": [name], "records": count, "bytes": size})
         if f is not None:
             f.close()
-        if names:
-            yield pd.DataFrame({"name": names})
+            yield pd.DataFrame({"name": [name], "records": count, "bytes": size})
 
     text = [F.col(c).cast("string").alias(c) for c in ("page_id", "url", "html", "payload_digest", "refers_to")]
-    return [r["name"] for r in classified.select(*text).mapInPandas(write, "name string").collect()]
+    return common.materialise(classified.select(*text).mapInPandas(write, "name string, records long, bytes long"), "warc-manifest")
 
 
 SCHEMA = "archive string, kind string, offset long, length long, reason string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(spark: SparkSession, out: str, with_payload: bool = False) -> DataFrame:
-    """All records and quarantined gaps of the archives under `out` (kind: record or gap). A payload's digest is computed again where the record has it."""
+def read_archives(spark: SparkSession, out: str, manifest: DataFrame | None = None, with_payload: bool = False) -> DataFrame:
+    """All records and quarantined gaps (kind: record or gap) of the archives under `out` that the manifest names; without one, of all *.warc and *.warc.gz.
+
+    A payload's digest is computed again where the record has it.
+    """
     number = lambda x: int(x) if x is not None and re.fullmatch(r"-?\d+", x) else None
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(name: str, content: bytes) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for kind, at, size, h, body in salvage(content):
+            payload, own = None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            length = number(h.get("x-payload-length"))
+            if kind == "record" and h.get("warc-type") == "response":
+                payload = body.partition(b"\r\n\r\n")[2]
+                length, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                if own and digest != own:
+                    kind, h = "gap", h | {"reason": "payload digest differs"}
+                own = digest
+            rows.append((name, kind, at, size, h.get("reason"), number(h.get("x-page-id")), h.get("warc-target-uri"), length, own, h.get("warc-type"), number(h.get("x-refers-to-page")), *((payload,) if with_payload else ())))
+            held += len(payload or b"") * with_payload
+            if len(rows) >= 5000 or held > 1 << 24:
+                yield _frame(rows, with_payload)
+                rows, held = [], 0
+        if rows:
+            yield _frame(rows, with_payload)
+
+    def read_named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name in pdf["name"]:
+                with common.open_input(f"{out}/{name}") as f:
+                    content = f.read()
+                yield from rows_of(name, content)
+
+    def read_found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows, held = [], 0
-                for kind, at, size, h, body in salvage(content):
-                    payload, own = None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    length = number(h.get("x-payload-length"))
-                    if kind == "record" and h.get("warc-type") == "response":
-                        payload = body.partition(b"\r\n\r\n")[2]
-                        length, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                        if own and digest != own:
-                            kind, h = "gap", h | {"reason": "payload digest differs"}
-                        own = digest
-                    rows.append((path.rsplit("/", 1)[-1], kind, at, size, h.get("reason"), number(h.get("x-page-id")), h.get("warc-target-uri"), length, own, h.get("warc-type"), number(h.get("x-refers-to-page")), *((payload,) if with_payload else ())))
-                    held += len(payload or b"") * with_payload
-                    if len(rows) >= 5000 or held > 1 << 24:
-                        yield _frame(rows, with_payload)
-                        rows, held = [], 0
-                if rows:
-                    yield _frame(rows, with_payload)
-
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc*").load(out).select("path", "content")
-    return files.mapInPandas(read, SCHEMA + (", payload binary" if with_payload else ""))
+                yield from rows_of(path.rsplit("/", 1)[-1], content)
+
+    schema = SCHEMA + (", payload binary" if with_payload else "")
+    if manifest is not None:
+        files = max(1, manifest.count())
+        return manifest.select("name").repartition(min(files, 20_000), "name").mapInPandas(read_named, schema)
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{warc,warc.gz}").load(out).select("path", "content")
+    return files.mapInPandas(read_found, schema)
 
 
 def _frame(rows: list[tuple], with_payload: bool) -> pd.DataFrame:
@@ -211,9 +301,8 @@ def _frame(rows: list[tuple], with_payload: bool) -> pd.DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.scratch(spark, "warc")
-    if not write_archives(classify(common.table(spark, sf_dir, "pages")), out):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, out).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = write_archives(classify(common.table(spark, sf_dir, "pages")), out)
+    return read_archives(spark, out, manifest).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB has SHA-1 and the same rule is a window over equal payloads.

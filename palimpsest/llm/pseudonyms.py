@@ -2,25 +2,36 @@
 
 Found are e-mail addresses, phone numbers, payment card numbers that pass the Luhn check, social security numbers with
 valid fields, IPv4 addresses with valid octets and dates of the years 1700 to 2099 that exist. Each becomes a vector of
-small numbers, every one with its own modulus (a digit has 10, a letter 26, an octet 256, the parts of a day's number 189 and
-773), and an alternating Feistel network adds keyed hashes of the odd positions to the even ones and the other way
+small numbers, every one with its own modulus (a digit has 10, a letter its alphabet's 26 or so, an octet 256, the parts of a day's
+number 189 and 773), and an alternating Feistel network adds keyed hashes of the odd positions to the even ones and the other way
 round. That is a permutation of all vectors with these moduli, so a value keeps its format and equal values stay equal in all
 documents, while different values of a kind stay different. Card numbers get a new check digit.
 
-Everything else in a text stays as it is, as do numbers that fail their check. Null texts stay null, empty ones empty, with no
+Everything else in a text stays as it is, as do numbers that fail their check. A text of any length is one row's expression. Null texts stay null, empty ones empty, with no
 values. Rows that repeat a doc_id are handled one by one. Empty tables give no rows; extra columns are kept by pseudonymise().
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ROUNDS = 8
-#: For tests and checks; production passes a secret of its own.
-DEFAULT_KEY = "palimpsest-demo-key"
+#: The setting that holds the secret key.
+KEY_SETTING = "spark.palimpsest.pseudonymKey"
+#: Keys drawn for applications that set none, by application.
+_drawn: dict[str, str] = {}
+
+
+def secret_key(spark: SparkSession) -> str:
+    """The key of the session's settings. Where none is set, one drawn at random for this application, so that nobody who knows
+    the source can undo pseudonyms; they are then the same in all queries of the application, but not in another one."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NOT_AFTER = r"(?<![0-9A-Za-z_])(?<!\d[.,])"
@@ -61,12 +72,12 @@ def feistel(values: Column, moduli: Column, kind: str, key: str, tweak: Column |
 
 
 def _filled(value: Column, new: Column, pattern: str) -> Column:
-    """value with its characters that match pattern replaced by the elements of new (array<string>), in order."""
+    """value with its characters that match pattern replaced by the elements of new (array<string>), in order; a null leaves one as it is."""
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("p"))
 
     def step(a: Column, c: Column) -> Column:
         hit = c.rlike(pattern)
-        return F.struct(F.concat(a["s"], F.when(hit, F.get(new, a["p"])).otherwise(c)).alias("s"), (a["p"] + hit.cast("int")).alias("p"))
+        return F.struct(F.concat(a["s"], F.coalesce(F.when(hit, F.get(new, a["p"])), c)).alias("s"), (a["p"] + hit.cast("int")).alias("p"))
 
     return F.aggregate(_characters(value), start, step, lambda a: a["s"])
 
@@ -109,15 +120,43 @@ def _ip(v: Column, key: str) -> Column:
     return F.array_join(feistel(octets, F.transform(octets, lambda _: F.lit(256).cast("long")), "ip", key).cast("array<string>"), ".")
 
 
+#: Runs of the Unicode table that hold nothing but digits, or letters of one kind (first, number): ASCII, Latin-1,
+#: Latin Extended-A, Greek, Cyrillic, Hiragana, Katakana, Han, Hangul.
+ALPHABETS = (
+    (0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x391, 17), (0x3A3, 7), (0x3B1, 25),
+    (0x410, 32), (0x430, 32), (0x3041, 86), (0x30A1, 90), (0x4E00, 20902), (0xAC00, 11172),
+)
+
+
 def _email(v: Column, key: str) -> Column:
-    """Letters and digits of the local part; the domain is a tweak."""
+    """Letters and digits of the local part, each within its alphabet; others stay. The domain is a tweak."""
     local, domain = F.substring_index(v, "@", 1), F.lower(F.substring_index(v, "@", -1))
-    chars = F.regexp_extract_all(local, F.lit(r"[\p{L}\p{N}]"), F.lit(0))
-    digit = lambda c: c.rlike("[0-9]")
-    values = F.transform(chars, lambda c: F.when(digit(c), c.cast("long")).otherwise(F.pmod(F.ascii(F.lower(c)) - 97, F.lit(26)).cast("long")))
-    moduli = F.transform(chars, lambda c: F.when(digit(c), F.lit(10)).otherwise(F.lit(26)).cast("long"))
-    new = F.zip_with(feistel(values, moduli, "email", key, domain), chars, lambda x, c: F.when(digit(c), x.cast("string")).otherwise(F.when(c.rlike("[A-Z]"), F.char(x + 65)).otherwise(F.char(x + 97))))
-    return F.concat(_filled(local, new, r"[\p{L}\p{N}]"), F.substring(v, F.length(local) + 1, F.length(v)))
+    codes = F.transform(F.regexp_extract_all(local, F.lit(r"[\p{L}\p{N}]"), F.lit(0)), lambda c: F.ascii(c).cast("long"))
+
+    def alphabet(code: Column) -> Column:
+        """Number of the alphabet, from 1; 0 for others."""
+        out = F.lit(0)
+        for i, (first, number) in enumerate(ALPHABETS, 1):
+            out = F.when((code >= first) & (code < first + number), i).otherwise(out)
+        return out
+
+    def made(x: Column) -> Column:
+        # which alphabets stand where is a tweak: equal vectors of numbers in other alphabets are other values
+        tweak = F.concat_ws("|", domain, F.array_join(x["of"].cast("array<string>"), ","))
+        new = feistel(F.zip_with(x["codes"], x["firsts"], lambda c, a: c - a), x["numbers"], "email", key, tweak)
+        letter = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        out = F.transform(new, lambda d, i: F.when(F.get(x["of"], i) > 0, letter(F.get(x["firsts"], i) + d)))  # code points beyond two bytes are in no alphabet
+        return F.concat(_filled(local, out, r"[\p{L}\p{N}]"), F.substring(v, F.length(local) + 1, F.length(v)))
+
+    def described(x: Column) -> Column:
+        first, number = (F.array(F.lit(0), *(F.lit(y) for y in ys)).cast("array<long>") for ys in zip(*ALPHABETS, strict=True))
+        firsts = F.zip_with(x["of"], x["codes"], lambda i, c: F.when(i > 0, F.get(first, i)).otherwise(c))
+        numbers = F.transform(x["of"], lambda i: F.when(i > 0, F.get(number, i)).otherwise(F.lit(1).cast("long")))
+        return F.struct(x["codes"].alias("codes"), x["of"].alias("of"), firsts.alias("firsts"), numbers.alias("numbers"))
+
+    # each step stands in an array of one, so that it is worked out once
+    steps = F.transform(F.array(codes), lambda c: F.struct(c.alias("codes"), F.transform(c, alphabet).alias("of")))
+    return F.get(F.transform(F.transform(steps, described), made), 0)
 
 
 _FIRST_DAY = "1700-01-01"
@@ -189,8 +228,9 @@ def replaced(text: Column, key: str) -> tuple[Column, Column]:
     return there, F.struct(found.alias("found"), made.alias("made"), F.split(text, ANY, -1).alias("gaps"))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, count: str = "n_values") -> DataFrame:
-    """docs with personal data in `text` replaced, and the number of replaced values; all other columns are kept."""
+def pseudonymise(docs: DataFrame, key: str | None = None, count: str = "n_values") -> DataFrame:
+    """docs with personal data in `text` replaced, and the number of replaced values; all other columns are kept. Without a key secret_key()'s is taken."""
+    key = key or secret_key(docs.sparkSession)
     text, name = F.col("text"), common.free_name(docs, "parts")
     there, parts = replaced(text, key)
     rows = docs.withColumn(name, F.when(there, parts))

@@ -5,10 +5,11 @@ trigrams; transitions between the words' languages are learned with them by maxi
 sequences, some of them joined from fragments of different languages. Prediction is forward-backward over all words
 of a text; a text's language is the one with the largest mean marginal, which is its score.
 
-Learning uses a bounded sample: at most TRAIN_DOCS documents of a language by a hash of doc_id, one window of TRAIN_CHARS
-characters each, of rows with a language whose crc32(doc_id) mod 5 is not 0. Prediction reads whole texts and nothing else.
+Learning uses a bounded sample of rows: at most TRAIN_DOCS whole texts of a language, by a hash of doc_id and text, of rows with a
+language whose crc32(doc_id) mod 5 is not 0; equal rows count once. Prediction reads whole texts of any length and nothing else.
 
-Texts that are null or have no letter are `und` with score 0, and so is every text if nothing can be learned. Rows that repeat a
+Texts that are null or have no letter (numerals such as fractions or circled numbers are none) are `und` with score 0, and so is
+every text if nothing can be learned. Ties between languages go to the first in order. Rows that repeat a
 doc_id are predicted one by one. A null doc_id counts as empty text in the fold (held out). Empty tables give no rows; extra
 columns are ignored.
 """
@@ -25,12 +26,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAIN_DOCS, TRAIN_CHARS, LENGTH, FOLDS = 400, 700, 24, 5
-#: With very many languages: so many windows in all.
-TRAIN_ROWS = 40_000
+TRAIN_DOCS, LENGTH, FOLDS = 120, 24, 5
+#: With very many languages: so many rows in all; and with very long texts: so many sequences of LENGTH words, drawn from all.
+TRAIN_ROWS, TRAIN_SEQUENCES = 8_000, 60_000
 UNKNOWN = "und"
-_WORD = re.compile(r"\b[^\W\d_]++\b")
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits: numerals of other kinds. None stand beyond U+1FFFF.
+_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTER = rf"[^\W\d_{_NUMERALS}]"
+_WORD = re.compile(rf"\b{_LETTER}++\b")
+_LETTERS = re.compile(rf"{_LETTER}+")
 
 
 def words(text: str) -> list[str]:
@@ -90,19 +94,21 @@ class Model:
         at = np.fromiter((known[w] for ws in lists for w in ws), np.int64)
         return self.rows[at]
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Of each text the language with the largest mean marginal, that mean, and the mean of each word's largest marginal."""
         lists = [words(t) for t in texts]
         sizes = np.array([len(ws) for ws in lists], np.int64)
-        out = [(UNKNOWN, 0.0)] * len(texts)
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         there = np.flatnonzero(sizes)
         if not len(there) or not self.languages:
             return out
         begin = (np.cumsum(sizes) - sizes)[there]
         marginals = forward_backward(self.emissions(lists), begin, np.exp(self.transitions), np.exp(self.start))
         mean = np.add.reduceat(marginals, begin, axis=0) / sizes[there, None]
-        for i, row in zip(there.tolist(), mean, strict=True):
+        sure = np.add.reduceat(marginals.max(1), begin) / sizes[there]
+        for i, row, s in zip(there.tolist(), mean, sure.tolist(), strict=True):
             top = int(row.argmax())
-            out[i] = (self.languages[top], float(min(1.0, max(0.0, row[top]))))
+            out[i] = (self.languages[top], float(min(1.0, max(0.0, row[top]))), min(1.0, s))
         return out
 
 
@@ -164,6 +170,8 @@ def fit(samples: list[tuple[str, str]], epochs: int = 8, batch: int = 64, rate:
         fragments += [(ws[i : i + LENGTH], number[lang]) for i in range(0, len(ws), LENGTH) if ws[i : i + LENGTH]]
     if not fragments:
         return Model([], {}, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
+    if len(fragments) > TRAIN_SEQUENCES:
+        fragments = [fragments[i] for i in np.sort(rng.permutation(len(fragments))[:TRAIN_SEQUENCES]).tolist()]
     counts: dict[str, int] = {}
     by_word: dict[str, list[str]] = {}
     for ws, _ in fragments:
@@ -251,38 +259,39 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def training_sample(docs: DataFrame, per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most per_language (text window, language) of each language and TRAIN_ROWS in all, chosen and cut by hashes of doc_id."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+def training_sample(docs: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
+    """At most per_language (text, language) of each language and TRAIN_ROWS in all, chosen by a hash of doc_id and text."""
+    space = 1 << 30
+    h = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(space))
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", h.alias("h"), "text")
+    # equal rows count once, or a row with many copies would leave no room for others
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("h", "text"), 0.02).alias("n"))
     languages = counts.count()
     if not languages:
         return []
-    space, most = 1 << 30, max(1, min(per_language, TRAIN_ROWS // languages))
+    most = max(1, min(per_language, TRAIN_ROWS // languages))
     # half as many again, since a hash doesn't hit a number exactly; cut to the number below
     bounds = counts.select("lang", F.least(F.lit(space), F.floor(1.5 * most * space / F.col("n")) + 1).alias("bound"))
-    h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(space))
-    begin = 1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int")
-    windows = rows.select("lang", h.alias("h"), F.substring(F.col("text"), begin, F.lit(chars)).alias("text"))
-    found = windows.join(F.broadcast(bounds) if languages <= TRAIN_ROWS else bounds, "lang").where(F.col("h") < F.col("bound"))
-    pdf = found.select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(most)
+    found = rows.join(F.broadcast(bounds) if languages <= TRAIN_ROWS else bounds, "lang").where(F.col("h") < F.col("bound")).select("lang", "h", "text").distinct()
+    pdf = found.toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(most)
     return list(zip(pdf["text"].tolist(), pdf["lang"].tolist(), strict=True))
 
 
-def predict(docs: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two columns more, the predicted language and its score; columns of these names are replaced, all others kept."""
-    docs = docs.drop(language, score)
+def predict(docs: DataFrame, model: Model, language: str = "lang_pred", score: str = "score", sure: str | None = None) -> DataFrame:
+    """docs with columns for the predicted language, its score and, if asked for, how sure the words are; columns of these names are replaced, all others kept."""
+    names = [language, score, *([sure] if sure else [])]
+    docs = docs.drop(*names)
     common.small_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{language}` string, `{score}` double"
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), f"`{language}` string", *(f"`{n}` double" for n in names[1:])])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:  # Arrow, so that columns that aren't read go through as they are
             found = shared.value.predict([t or "" for t in batch.column("text").to_pylist()])
-            columns = {n: batch.column(n) for n in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(columns | {language: pa.array([f[0] for f in found], pa.string()), score: pa.array([f[1] for f in found], pa.float64())})
+            new = {n: pa.array([f[i] for f in found], pa.float64() if i else pa.string()) for i, n in enumerate(names)}
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names} | new)
 
     return docs.mapInArrow(run, schema)
 

@@ -46,19 +46,34 @@ def not_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) != ""
 
 
-def ocr_quality(text: Column) -> Column:
-    """0.5 share of clean characters + 0.3 (1 - share of garbage words) + 0.2 (1 - share of odd short words); null for blank text."""
-    words = tok_ws(text)
+def _quality(text: Column, words: Column) -> Column:
     bare = F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
     letters = lambda s: F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
     dense = lambda s: (F.length(s) > 2) & (letters(s) / F.length(s) < 0.5)
     vowelless = lambda s: (F.length(s) > 3) & ~s.rlike("[aeiouAEIOU]")
-    garbage = F.size(F.filter(bare, lambda s: (s != "") & (dense(s) | vowelless(s))))
-    short = F.size(F.filter(bare, lambda s: (s != "") & (F.length(s) <= 2) & ~F.lower(s).isin(SHORT_WORDS)))
+    garbage = lambda ws: F.size(F.filter(ws, lambda s: (s != "") & (dense(s) | vowelless(s))))
+    short = lambda ws: F.size(F.filter(ws, lambda s: (s != "") & (F.length(s) <= 2) & ~F.lower(s).isin(SHORT_WORDS)))
     clean = F.length(F.regexp_replace(text, NOT_CLEAN, "")) / F.length(text)
     n = F.size(words)
-    score = WEIGHTS[0] * clean + WEIGHTS[1] * (1 - garbage / n) + WEIGHTS[2] * (1 - short / n)
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    score = once(bare, lambda ws: WEIGHTS[0] * clean + WEIGHTS[1] * (1 - garbage(ws) / n) + WEIGHTS[2] * (1 - short(ws) / n))
+    return once(score, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
+def measured(text: Column) -> Column:
+    """struct(word_count, ocr_quality) of a text, which is cut into words once; no quality without words.
+
+    The quality: 0.5 share of clean characters + 0.3 (1 - share of garbage words) + 0.2 (1 - share of odd short words).
+    """
+
+    def use(words: Column) -> Column:
+        n = F.size(words)
+        return F.struct(n.alias("word_count"), F.when(n > 0, _quality(text, words)).alias("ocr_quality"))
+
+    return once(tok_ws(text), use)
+
+
+def ocr_quality(text: Column) -> Column:
+    return measured(text)["ocr_quality"]
 
 
 def tier(score: Column, bounds: tuple[float, float] = CORPUS_TIERS) -> Column:

@@ -38,8 +38,8 @@ def zero_filled(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int) ->
 def smooth_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """qid, doc_id, score of documents with a query term; idf = ln((N - df + 0.5) / (df + 0.5) + 1)."""
     terms = P.query_terms(queries)
-    posts = P.postings_of(docs, terms)
-    stats = P.lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    posts = P.postings_and_lengths(docs, terms)
+    stats = P.corpus_stats(posts)  # one row
     hits = posts.join(P.frequency_in(posts), "term").join(terms, "term").join(F.broadcast(stats))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     part = F.col("qtf") * P.idf_smooth(F.col("n"), F.col("df")) * tf
@@ -55,8 +55,8 @@ def smooth(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def by_group(docs: DataFrame, queries: DataFrame, group: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """group, qid, doc_id, score with N, df and average length of each group."""
     terms = P.query_terms(queries)
-    posts = P.postings_of(docs, terms, T.tok_regex, group)
-    stats = P.lengths(docs, T.tok_regex, group).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    posts = P.postings_and_lengths(docs, terms, T.tok_regex, group)
+    stats = P.corpus_stats(posts, group)
     hits = posts.join(P.frequency_in(posts, group), [group, "term"]).join(terms, "term").join(stats, group)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     part = F.col("qtf") * P.idf_smooth(F.col("n"), F.col("df")) * tf
@@ -67,8 +67,8 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b:
     """qid, doc_id, score, rank with white-space tokens; idf = ln(N - df + 0.5) - ln(df + 0.5), negative ones replaced by epsilon times the mean idf of the vocabulary; top k, then only scores above 0."""
     words = lambda c: T.tok_ws(c, lower=True)
     terms = P.query_terms(queries, words)
-    posts = P.postings_of(docs, terms, words)
-    stats = P.lengths(docs, words).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    posts = P.postings_and_lengths(docs, terms, words)
+    stats = P.corpus_stats(posts)  # one row
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = P.doc_frequency(docs, words).join(F.broadcast(stats)).withColumn("raw", raw)
     mean = df.agg(F.avg("raw").alias("mean_idf"))

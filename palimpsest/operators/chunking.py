@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ranking
 
 SIZE, OVERLAP, MOST_WORDS = 512, 50, 8192
 
 
 def fixed_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Array of (text, start_word, end_word): windows of `size` words every size - overlap, as long as one begins before the end."""
-    words = T.tok_ws(text)
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(F.array_join(F.slice(words, s + 1, size), " ").alias("text"), s.alias("start_word"), F.least(s + size, n).alias("end_word")))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(F.array_join(F.slice(words, s + 1, size), " ").alias("text"), s.alias("start_word"), F.least(s + size, n).alias("end_word")))
+
+    return T.once(T.tok_ws(text), cut)
 
 
 def semantic_chunks(text: Column, most: int = SIZE) -> Column:
@@ -61,19 +65,31 @@ def truncation(words: Column, most: int = MOST_WORDS) -> tuple[Column, Column, C
 
 
 def split_sentences(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """How many chunk borders lie inside a sentence's first occurrence; text between full stops is a sentence."""
-    chunks = fixed_chunks(text, size, overlap)
-    words, sentences = T.tok_ws(text), F.array_distinct(F.split(text, r"\."))
-    ends = F.transform(F.slice(chunks, 1, F.greatest(F.size(chunks) - 1, F.lit(0))), lambda c: c["end_word"])
+    """How many chunk borders lie inside a sentence's first occurrence; text between full stops is a sentence.
+
+    Words, the places of borders in the words joined by spaces, and sentences' spans are made once for a text; a border's place is the
+    one before it and the lengths of the words between.
+    """
+    sentences = F.array_distinct(F.split(text, r"\."))
     spans = F.transform(sentences, lambda s: F.struct((F.instr(text, s) - 1).alias("a"), F.length(s).alias("n")))
-    # in an array of one, so that spans and words are made once and not for every border
-    made = F.array(F.struct(spans.alias("spans"), words.alias("words"), ends.alias("ends")))
 
-    def inside(m: Column) -> Column:
-        at = F.transform(m["ends"], lambda e: F.length(F.array_join(F.slice(m["words"], F.lit(1), e), " ")))
-        return F.size(F.filter(at, lambda p: F.exists(m["spans"], lambda s: (s["a"] < p) & (p < s["a"] + s["n"]))))
+    def borders(sizes: Column) -> Column:
+        n = F.size(sizes)
+        starts = F.when(n > size - overlap, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        # all chunks' ends but the last one's
+        ends = F.transform(F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))), lambda s: F.least(s + size, n))
+        start = F.struct(F.array().cast("array<long>").alias("at"), F.lit(0).alias("end"), F.lit(-1).cast("long").alias("place"))
+
+        def step(a: Column, end: Column) -> Column:
+            more = F.aggregate(F.slice(sizes, a["end"] + 1, end - a["end"]), F.lit(0).cast("long"), lambda x, y: x + y + 1)
+            return T.once(a["place"] + more, lambda p: F.struct(F.array_append(a["at"], p).alias("at"), end.alias("end"), p.alias("place")))
+
+        return F.aggregate(ends, start, step, lambda a: a["at"])
 
-    return F.get(F.transform(made, inside), 0)
+    at = T.once(F.transform(T.tok_ws(text), lambda w: F.length(w)), borders)
+    # in an array of one, so that spans are made once and not for every border
+    inside = lambda m: F.size(F.filter(m["at"], lambda p: F.exists(m["spans"], lambda s: (s["a"] < p) & (p < s["a"] + s["n"]))))
+    return T.once(F.struct(spans.alias("spans"), at.alias("at")), inside)
 
 
 def percentile_windows(docs: DataFrame, value: str, percents: list[int], n: int = 5) -> DataFrame:
@@ -82,9 +98,8 @@ def percentile_windows(docs: DataFrame, value: str, percents: list[int], n: int
     Global ranks without one large window: counts of distinct values give each value's first rank, and only values around the
     percentiles are ranked within.
     """
-    counts = docs.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = counts.agg(F.sum("c").alias("total"))
+    upto = ranking.before(docs.select(F.col(value).alias("v")), "v").select("v", F.col("n").alias("c"), "before")
+    total = upto.agg(F.sum("c").alias("total"))
     asked = docs.sparkSession.createDataFrame([(p,) for p in percents], "percent int").join(F.broadcast(total), how="cross")
     centre = F.least(F.floor(F.col("total") * F.col("percent") / 100), F.col("total") - 1)
     asked = asked.withColumn("lo", F.greatest(F.lit(0), centre - n // 2)).withColumn("hi", F.least(F.col("total"), F.col("lo") + n))
@@ -99,7 +114,7 @@ def stratified_sample(docs: DataFrame, size: int, tier: str, year: str) -> DataF
     """The evenly spaced rows of each tier in the order of year (missing years count as 1900): its share of `size`, one at least.
 
     Rows aren't ranked over a whole tier: counts of (tier, year) tell which year a wanted place falls in and how far, and only rows of
-    such years are ranked, each year on its own.
+    such years are ranked, each year on its own. docs are read several times: give a written table of what is needed.
     """
     dated = docs.withColumn("y", F.coalesce(F.nullif(F.col(year), F.lit(0)), F.lit(1900)))
     counts = dated.groupBy(tier, "y").agg(F.count(F.lit(1)).alias("c"))
@@ -110,7 +125,7 @@ def stratified_sample(docs: DataFrame, size: int, tier: str, year: str) -> DataF
     wanted = totals.withColumn("n", n).select(tier, F.explode(F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.floor(i * F.col("nt") / F.col("n")))).alias("place"))
     spans = counts.withColumn("before", before)
     hits = wanted.join(spans, tier).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c")))
-    hits = hits.select(tier, "y", (F.col("place") - F.col("before") + 1).alias("nth"))
+    hits = hits.select(tier, "y", (F.col("place") - F.col("before") + 1).alias("nth"))  # at most `size` rows and one a tier
     years = hits.select(tier, "y").distinct()
     nth = F.row_number().over(Window.partitionBy(tier, "y").orderBy("doc_id"))
     return dated.join(years, [tier, "y"], "left_semi").withColumn("nth", nth).join(hits, [tier, "y", "nth"], "left_semi").select(*docs.columns)

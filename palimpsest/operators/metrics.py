@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ranking
 
 
 def gain(rel: Column, rank: Column) -> Column:
@@ -58,12 +59,10 @@ def paired_t(pairs: DataFrame) -> DataFrame:
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """n (pairs that differ), w: the smaller sum of average ranks of |a - b|, and z of the normal approximation with ties.
 
-    Ranks come from counts of equal differences, which are aggregated first: the running sum is over distinct differences.
+    Ranks come from counts of equal differences, which are aggregated first and run up by ranges.
     """
     rows = pairs.select(F.round(F.col("a") - F.col("b"), 9).alias("d")).where("d <> 0").select(F.abs("d").alias("size"), (F.col("d") > 0).cast("int").alias("plus"))
-    counts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("c"), F.sum("plus").alias("plus"))
-    before = F.sum("c").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2)
+    ranks = ranking.before(rows, "size", "plus").select(F.col("n").alias("c"), "plus", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
     total = ranks.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("plus"))).alias("w_minus"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

@@ -26,6 +26,25 @@ def postings_of(docs: DataFrame, terms: DataFrame, words=T.tok_regex, *keep: str
     return rows.groupBy("doc_id", *keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: A term that no text has: the posting that every document has.
+EVERY = ""
+
+
+def postings_and_lengths(docs: DataFrame, terms: DataFrame, words=T.tok_regex, *keep: str) -> DataFrame:
+    """postings_of() with one more posting for every document, of the term EVERY: numbers and lengths of all documents come from the same rows, each text cut once."""
+    cut = docs.select("doc_id", *keep, F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    rows = cut.select("doc_id", *keep, F.size("w").cast("long").alias("dl"), F.explode(F.array_append("w", F.lit(EVERY))).alias("term"))
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
+    rows = rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("doc_id", *keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def corpus_stats(posts: DataFrame, *by: str) -> DataFrame:
+    """by, n, avgdl from postings_and_lengths(). No filter, so that the shuffle of the postings stays the same and Spark makes it once."""
+    of_doc = F.when(F.col("term") == EVERY, F.col("dl"))
+    return posts.groupBy(*by).agg(F.count(of_doc).alias("n"), F.avg(of_doc).alias("avgdl"))
+
+
 def lengths(docs: DataFrame, words=T.tok_regex, *keep: str) -> DataFrame:
     """doc_id, the kept columns, dl: tokens of every document, also of those without any."""
     return docs.select("doc_id", *keep, F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0)).cast("long").alias("dl"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import materialise
 from . import postings as P
+from . import ranking
 
 #: Stop words of the era and collection analyses, and those that the corpus statistics add.
 STOPWORDS_SHORT = (
@@ -25,7 +27,12 @@ def with_share(counts: DataFrame) -> DataFrame:
 
 
 def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """n, mean, median, std, min, max. Within groups the median is Spark's exact one, which holds a group's distinct values in a task;
+    over a whole table it comes from counts of values, with rows read twice."""
     v = F.col(value)
+    if not by:
+        rest = rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+        return rest.join(F.broadcast(ranking.at_shares(rows.select(value), value, {"median": 0.5})), how="cross").select("n", "mean", "median", "std", "min", "max")  # one row each
     return rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
@@ -34,9 +41,9 @@ def percentiles_by_index(rows: DataFrame, value: str, percents: list[int]) -> Da
 
     Counted over distinct values, so the sort is over those and not over rows.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("value")))
-    n = counts.agg(F.sum("c").alias("n"))
+    placed = ranking.before(rows.select(F.col(value).alias("value")), "value")
+    upto = placed.select("value", F.col("n").alias("c"), (F.col("before") + F.col("n")).alias("upto"))
+    n = upto.agg(F.sum("c").alias("n"))
     asked = rows.sparkSession.createDataFrame([(p,) for p in percents], "percent int")
     at = asked.join(F.broadcast(n), how="cross").withColumn("at", F.least(F.floor(F.col("n") * F.col("percent") / 100), F.col("n") - 1))
     hit = F.broadcast(at).join(upto, (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c")))
@@ -44,7 +51,9 @@ def percentiles_by_index(rows: DataFrame, value: str, percents: list[int]) -> Da
 
 
 def percentiles_linear(rows: DataFrame, value: str, percents: list[int], *by: str) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column each."""
+    """Exact percentiles with linear interpolation, one column each; over a whole table from counts of values."""
+    if not by:
+        return ranking.at_shares(rows.select(value), value, {f"p{p}": p / 100 for p in percents})
     return rows.groupBy(*by).agg(*(F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in percents))
 
 
@@ -85,8 +94,10 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 def doc_ttr(docs: DataFrame) -> DataFrame:
     """Mean, sample deviation and median of documents' type-token ratios."""
     words = T.tok_regex(F.col("text"))
-    ratio = docs.select((F.size(F.array_distinct(words)) / F.size(words)).alias("ttr")).where("ttr is not null")
-    return ratio.agg(F.avg("ttr").alias("mean_ttr"), F.stddev_samp("ttr").alias("std_ttr"), F.median("ttr").alias("median_ttr"))
+    ratio = docs.select(T.once(words, lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w))).alias("ttr")).where("ttr is not null")
+    ratio = materialise(ratio, "type-token-ratios")
+    median = ranking.at_shares(ratio, "ttr", {"median_ttr": 0.5})
+    return ratio.agg(F.avg("ttr").alias("mean_ttr"), F.stddev_samp("ttr").alias("std_ttr")).join(F.broadcast(median), how="cross")  # one row each
 
 
 def top_terms(docs: DataFrame, n: int) -> DataFrame:
@@ -134,7 +145,8 @@ def pairwise_vocabulary(docs: DataFrame, group: str, order: Column | None = None
         sizes = sizes.withColumn("at", F.col("g"))
     shared = has.select(F.explode("groups").alias("a"), "groups").select("a", F.explode("groups").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     a, b = sizes.select(F.col("g").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a")), sizes.select(F.col("g").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
-    pairs = F.broadcast(a).join(F.broadcast(b), F.col("at_a") < F.col("at_b")).join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))  # one row a group
+    # every two groups are the result itself
+    pairs = a.join(b, F.col("at_a") < F.col("at_b")).join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     total = F.col("size_a") + F.col("size_b") - F.col("shared")
     return pairs.select("a", "b", "shared", total.alias("total"), (F.col("size_a") - F.col("shared")).alias("only_a"), (F.col("size_b") - F.col("shared")).alias("only_b"), F.round(F.col("shared") / total, 4).alias("jaccard"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.stats import STOPWORDS_LONG, STOPWORDS_SHORT
-from ..shared import table
+from ..shared import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Characters by which short items meet documents.
+SHORT_KEY = 3
 #: A year for documents, which the test tables lack: made from doc_id.
 YEAR = "CAST(1600 + (doc_id * 37) % 340 AS INTEGER)"
 _quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
@@ -89,11 +91,20 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("era", T.era(F.col("year")))
 
 
+def described(d: DataFrame) -> DataFrame:
+    """d (text, ...) with word_count, ocr_quality and tier."""
+    d = d.withColumn("m", T.measured(F.col("text"))).withColumn("word_count", F.col("m.word_count")).withColumn("ocr_quality", F.round("m.ocr_quality", 9)).drop("m")
+    return d.withColumn("tier", T.tier(F.col("ocr_quality")))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs with word_count, ocr_quality and tier."""
-    d = docs(spark, sf_dir)
-    d = d.withColumn("word_count", T.word_count(F.col("text"))).withColumn("ocr_quality", F.round(T.ocr_quality(F.col("text")), 9))
-    return d.withColumn("tier", T.tier(F.col("ocr_quality")))
+    return described(docs(spark, sf_dir))
+
+
+def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus without its texts, as a written table: for queries that look at it several times."""
+    return materialise(corpus(spark, sf_dir).drop("text"), "measures")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,21 +115,26 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, doc_id, rel = 1 where a document holds a benchmark item's text.
 
-    Items and documents meet on the items' first three tokens in a row, then the whole text is compared: no document is compared
-    with all items. Items are cut as documents are, so that an item inside a document shares its inner tokens with it.
+    Items and documents meet on a hash of three tokens in a row, then the whole text is compared: no document is compared with all
+    items. Items are cut as documents are, so that an item inside a document shares its inner tokens with it. Items with too few
+    tokens meet documents on their first characters, SHORT_KEY at most. Documents' keys meet items' before anything shuffles
+    while Spark finds the items small enough to broadcast. An empty item is in no document.
     """
-    key = lambda words, i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    key = lambda words, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     q = questions(spark, sf_dir).withColumn("w", T.tok_regex(F.col("text")))
     # the first and last token can be part of a longer one in the document: keys begin at the second
     long_ = q.where(F.size("w") >= 5).select("qid", F.col("text").alias("item"), key(F.col("w"), F.lit(1)).alias("key"))
-    short = q.where(F.size("w") < 5).select("qid", F.col("text").alias("item"))
+    short = q.where((F.size("w") < 5) & (F.col("text") != "")).select("qid", F.col("text").alias("item"), F.substring("text", 1, SHORT_KEY).alias("key"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     words = T.tok_regex(F.col("text"))
     grams = d.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: key(F.col("w"), i)))).alias("key"))
     hits = grams.join(long_, "key").select("doc_id", "qid", "item").distinct().join(d, "doc_id").where(F.col("text").contains(F.col("item")))
-    some = d.join(short, F.col("text").contains(F.col("item"))) if short.take(1) else None
     out = hits.select("qid", "doc_id", F.lit(1).alias("rel"))
-    return out if some is None else out.unionByName(some.select("qid", "doc_id", F.lit(1).alias("rel")))
+    for n in sorted(r[0] for r in short.select(F.length("key")).distinct().collect()):  # SHORT_KEY numbers at most
+        runs = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("key"))
+        some = runs.join(short.where(F.length("key") == n), "key").select("doc_id", "qid", "item").distinct().join(d, "doc_id").where(F.col("text").contains(F.col("item")))
+        out = out.unionByName(some.select("qid", "doc_id", F.lit(1).alias("rel")))
+    return out
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import postings, stats
-from ..shared import table
-from .base import corpus, docs, query
+from ..shared import scratch, table
+from ..sources import files
+from .base import corpus, docs, measures, query
 
 TOK = "WITH @DOCS@, @TOKENS@"
 TOKP = "WITH @DOCS@, @TOKENS@, @POSTINGS@, @LENGTHS@"
@@ -27,7 +28,7 @@ def rounded(rows, *keep):
 
 @query("agg_describe", f"WITH @CORPUS@ SELECT 'words' AS measure, {DESC.format(v='wc')} FROM corpus UNION ALL SELECT 'quality', {DESC.format(v='quality')} FROM corpus")
 def _(spark, d):
-    c = corpus(spark, d)
+    c = measures(spark, d)
     one = lambda v, name: rounded(stats.describe(c, v)).withColumn("measure", F.lit(name))
     return one("word_count", "words").unionByName(one("ocr_quality", "quality"))
 
@@ -37,12 +38,12 @@ def _(spark, d):
     "WITH @CORPUS@, r AS (SELECT wc, row_number() OVER (ORDER BY wc) - 1 AS pos, count(*) OVER () AS n FROM corpus), p AS (SELECT CAST(unnest([10, 25, 50, 75, 90, 95, 99]) AS INTEGER) AS percent) SELECT percent, wc AS value FROM r JOIN p ON r.pos = least(n * percent // 100, n - 1)",
 )
 def _(spark, d):
-    return stats.percentiles_by_index(corpus(spark, d), "word_count", [10, 25, 50, 75, 90, 95, 99])
+    return stats.percentiles_by_index(measures(spark, d), "word_count", [10, 25, 50, 75, 90, 95, 99])
 
 
 @query("agg_pct_linear", "WITH @CORPUS@ SELECT " + ", ".join(f"round(quantile_cont(CAST(wc AS DOUBLE), {p / 100}), 6) AS p{p}" for p in (5, 25, 50, 75, 95, 99)) + " FROM corpus")
 def _(spark, d):
-    out = stats.percentiles_linear(corpus(spark, d), "word_count", [5, 25, 50, 75, 95, 99])
+    out = stats.percentiles_linear(measures(spark, d), "word_count", [5, 25, 50, 75, 95, 99])
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
@@ -65,7 +66,7 @@ def _(spark, d):
 
 @query("agg_ocr_compare", f"WITH @CORPUS@ SELECT lang, {DESC.format(v='quality')}, count(*) FILTER (tier = 'high') AS high, count(*) FILTER (tier = 'medium') AS medium, count(*) FILTER (tier = 'low') AS low FROM corpus GROUP BY lang")
 def _(spark, d):
-    c = corpus(spark, d)
+    c = measures(spark, d)
     tiers = c.groupBy("lang").agg(*(F.count_if(F.col("tier") == t).alias(t) for t in ("high", "medium", "low")))
     return rounded(stats.describe(c, "ocr_quality", "lang"), "lang").join(tiers, "lang")
 
@@ -252,12 +253,20 @@ def _(spark, d):
     return v.agg(F.count_if((F.col("en") > 0) & (F.col("fr") > 0)).alias("shared"), F.count_if((F.col("en") > 0) & (F.col("fr") == 0)).alias("only_en"), F.count_if((F.col("en") == 0) & (F.col("fr") > 0)).alias("only_fr"))
 
 
-@query("agg_missing", "SELECT count(*) AS records, count(*) FILTER (text IS NULL OR trim(text) = '') AS empty_text, count(*) FILTER (doc_id IS NULL OR text IS NULL OR lang IS NULL) AS incomplete, 0::BIGINT AS malformed, count(*) FILTER (doc_id IS NULL OR text IS NULL OR lang IS NULL OR trim(text) = '') = 0 AS valid FROM documents")
+@query(
+    "agg_missing",
+    """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN text WHEN doc_id % 2 = 0 THEN ' ' END AS text, lang FROM documents WHERE doc_id % 10 <> 3)
+    SELECT count(*) AS records, count(*) FILTER (text IS NULL OR trim(text) = '') AS empty_text, count(*) FILTER (doc_id IS NULL OR text IS NULL OR lang IS NULL) AS incomplete,
+    (SELECT count(*) FROM documents WHERE doc_id % 10 = 3) AS malformed, count(*) FILTER (doc_id IS NULL OR text IS NULL OR lang IS NULL OR trim(text) = '') = 0 AND (SELECT count(*) FROM documents WHERE doc_id % 10 = 3) = 0 AS valid FROM r""",
+)
 def _(spark, d):
-    rows = table(spark, d, "documents")
-    gone = F.col("doc_id").isNull() | F.col("text").isNull() | F.col("lang").isNull()
-    out = rows.agg(F.count(F.lit(1)).alias("records"), F.count_if(~T.not_blank(F.col("text"))).alias("empty_text"), F.count_if(gone).alias("incomplete"))
-    return out.withColumn("malformed", F.lit(0).cast("long")).withColumn("valid", (F.col("empty_text") == 0) & (F.col("incomplete") == 0))
+    """Documents as JSON lines, some of them cut off, some without text or with a blank one, are written and validated."""
+    path = scratch(spark, "records-jsonl")
+    text = F.when(F.col("doc_id") % 7 != 0, F.col("text")).when(F.col("doc_id") % 2 == 0, F.lit(" "))
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), F.col("lang").alias("language")))
+    cut = F.substring(line, F.lit(1), F.length(line) - 1)
+    table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 3, cut).otherwise(line).alias("value")).write.text(path)
+    return files.validated(spark, path, ("doc_id", "text", "language"))
 
 
 @query("rep_covdrop", "WITH @CORPUS@, p AS (SELECT quantile_disc(wc, 0.25) AS p25, quantile_disc(wc, 0.99) AS p99 FROM corpus) SELECT round((1 - least(1.0::DOUBLE, 5 * 512 / p99) / least(1.0::DOUBLE, 5 * 512 / p25)) * 100, 4) AS drop_pct FROM p")

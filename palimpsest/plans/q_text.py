@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..shared import table
-from .base import corpus, docs, query
+from .base import corpus, docs, measures, query
 
 W = "list_filter(string_split_regex(text, '@WS@'), lambda x: x <> '')"
 WL = "list_filter(string_split_regex(lower(text), '@WS@'), lambda x: x <> '')"
@@ -65,9 +65,9 @@ def _(spark, d):
     return rows.select("doc_id", date.alias("date"), year.alias("date_numeric"))
 
 
-@query("year_text", "SELECT page_id, TRY_CAST(nullif(regexp_extract(concat(url, ' ', substr(html, 1, 3000)), '\\b(1[0-9]{3}|20[0-2][0-9])\\b', 1), '') AS INTEGER) AS year FROM pages")
+@query("year_text", "SELECT page_id, TRY_CAST(nullif(regexp_extract(concat(url, ' ', html), '\\b(1[0-9]{3}|20[0-2][0-9])\\b', 1), '') AS INTEGER) AS year FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", T.year_text(F.concat("url", F.lit(" "), F.substring("html", 1, 3000))).alias("year"))
+    return table(spark, d, "pages").select("page_id", T.year_text(F.concat("url", F.lit(" "), "html")).alias("year"))
 
 
 @query("clean_title", "SELECT doc_id, regexp_replace(replace(concat('_', source, '_', lang, '_'), '_', ' '), '^@WS@|@WS@$', '', 'g') AS title FROM documents")
@@ -99,7 +99,7 @@ def _(spark, d):
 
 REPLY = """CASE conv_id % 3 WHEN 0 THEN concat('```json', chr(10), '{"answer": "', word, '", "confidence": ', CAST(turn AS VARCHAR), '}', chr(10), '```')
   WHEN 1 THEN concat('Well: "answer": "', word, '", "confidence": ', CAST(turn AS VARCHAR), ' and more') ELSE concat('plain ', word) END"""
-WORD = "regexp_replace(substr(text, 1, 250), '[^A-Za-z ]', '', 'g')"
+WORD = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 
 
 @query(
@@ -107,7 +107,7 @@ WORD = "regexp_replace(substr(text, 1, 250), '[^A-Za-z ]', '', 'g')"
     f"WITH w AS (SELECT conv_id, turn, {WORD} AS word FROM conversations) SELECT conv_id, turn, CASE WHEN conv_id % 3 = 2 THEN substr(concat('plain ', word), 1, 200) ELSE word END AS answer, CAST(CASE WHEN conv_id % 3 = 2 THEN 50 ELSE turn END AS INTEGER) AS confidence FROM w",
 )
 def _(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 250), "[^A-Za-z ]", "").alias("word"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^A-Za-z ]", "").alias("word"))
     answer, confidence = T.llm_answer(F.col("reply"))
     return rows.withColumn("reply", F.expr(REPLY.replace("VARCHAR", "STRING").replace("chr(10)", "'\\n'"))).select("conv_id", "turn", answer.alias("answer"), confidence.alias("confidence"))
 
@@ -158,7 +158,7 @@ def _(spark, d):
     "WITH @CORPUS@, h AS (SELECT *, count(*) FILTER (tier = 'high') OVER () AS n, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) AS r FROM corpus) SELECT doc_id, quality AS ocr_quality FROM h WHERE CASE WHEN n >= 10 THEN tier = 'high' ELSE r <= 50 END",
 )
 def _(spark, d):
-    return high_docs(corpus(spark, d)).select("doc_id", "ocr_quality")
+    return high_docs(measures(spark, d)).select("doc_id", "ocr_quality")
 
 
 def high_docs(rows, least: int = 10, fallback: int = 50):
@@ -277,7 +277,7 @@ def _(spark, d):
     SELECT doc_id, tier, year FROM s JOIN i USING (tier, pos)""",
 )
 def _(spark, d):
-    return C.stratified_sample(corpus(spark, d), 100, "tier", "year").select("doc_id", "tier", "year")
+    return C.stratified_sample(measures(spark, d), 100, "tier", "year").select("doc_id", "tier", "year")
 
 
 @query(
@@ -288,7 +288,7 @@ def _(spark, d):
     SELECT doc_id, tier FROM a ORDER BY late, doc_id LIMIT 50""",
 )
 def _(spark, d):
-    return C.query_sample(corpus(spark, d), 50, "tier")[0].select("doc_id", "tier")
+    return C.query_sample(measures(spark, d), 50, "tier")[0].select("doc_id", "tier")
 
 
 @query(
@@ -298,7 +298,7 @@ def _(spark, d):
     SELECT doc_id, round(coalesce(quality, 0) * least(wc, 5000), 6) AS score FROM v WHERE doc_id NOT IN (SELECT doc_id FROM u) ORDER BY score DESC, doc_id LIMIT 30""",
 )
 def _(spark, d):
-    rows = corpus(spark, d)
+    rows = measures(spark, d)
     return C.rag_candidates(rows, C.query_sample(rows, 50, "tier")[1], 30).select("doc_id", "score")
 
 
@@ -308,6 +308,6 @@ def _(spark, d):
     u AS (SELECT doc_id FROM v WHERE nth <= greatest(1, 50 // greatest(1, (SELECT count(DISTINCT tier) FROM v)))) SELECT doc_id FROM v WHERE doc_id NOT IN (SELECT doc_id FROM u)""",
 )
 def _(spark, d):
-    rows = corpus(spark, d)
+    rows = measures(spark, d)
     used = C.query_sample(rows, 50, "tier")[1].select("doc_id")
     return rows.where("word_count >= 100").join(used, "doc_id", "left_anti").select("doc_id")

@@ -292,9 +292,9 @@ def _(spark, d):
     return files.read_json_array(spark, json_array(spark, rows, "query-meta"), files.QUERY_META).select("query_id", "query", "query_type", "status")
 
 
-@query("src_rag", "SELECT format('RAG{:03d}', item_id) AS question_id, text AS question, substr(text, 1, 20) AS answer FROM benchmark")
+@query("src_rag", "SELECT format('RAG{:03d}', item_id) AS question_id, text AS question, concat('about ', text) AS answer FROM benchmark")
 def _(spark, d):
-    rows = questions(spark, d).select(F.format_string("RAG%03d", "qid").alias("question_id"), F.col("text").alias("question"), F.substring("text", 1, 20).alias("answer"))
+    rows = questions(spark, d).select(F.format_string("RAG%03d", "qid").alias("question_id"), F.col("text").alias("question"), F.concat(F.lit("about "), "text").alias("answer"))
     return files.read_json_array(spark, json_array(spark, rows, "rag"), files.RAG).select("question_id", "question", "answer")
 
 
@@ -371,14 +371,14 @@ def _(spark, d):
     return files.by_first_folder(table(spark, d, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), end).alias("path")))
 
 
-# ALTO: pages made from the documents' first words
+# ALTO: pages made from the documents' words
 
-ALTO_WORDS = "list_filter(string_split_regex(regexp_replace(substr(text, 1, 400), '[^A-Za-z ]', ' ', 'g'), ' +'), lambda x: x <> '')"
+ALTO_WORDS = "list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' +'), lambda x: x <> '')"
 ALTO = f"w AS (SELECT doc_id, {ALTO_WORDS} AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w), al AS (SELECT doc_id, word, i, ((i - 1) * 37 % 100) / 100 AS wc FROM u)"
 
 
 def alto_xml(text, width):
-    words = F.filter(F.split(F.regexp_replace(F.substring(text, 1, 400), "[^A-Za-z ]", " "), " +"), lambda x: x != "")
+    words = F.filter(F.split(F.regexp_replace(text, "[^A-Za-z ]", " "), " +"), lambda x: x != "")
     strings = F.transform(words, lambda w, i: F.format_string('<String CONTENT="%s" WC="%s" CC="0"/>', w, (F.pmod(i * 37, F.lit(100)) / 100).cast("string")))
     return F.concat(F.format_string('<alto xmlns="http://www.loc.gov/standards/alto/ns-v2#"><Layout><Page ID="P1" WIDTH="%d" HEIGHT="3200"><PrintSpace><TextBlock><TextLine>', width), F.array_join(strings, "<SP/>"), F.lit("</TextLine></TextBlock></PrintSpace></Page></Layout></alto>"))
 

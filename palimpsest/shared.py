@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,9 +14,11 @@ _local_dir: list[str] = []
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests)."""
+    """A new path below spark.checkpoint.dir. Where that is unset, below a temporary folder, in local mode only: on a cluster machines don't share one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _local_dir:
             folder = tempfile.mkdtemp(prefix="palimpsest-")
             atexit.register(shutil.rmtree, folder, True)

@@ -31,6 +31,18 @@ def read_jsonl_checked(spark: SparkSession, path: str, schema: str = CORPUS) ->
     return rows.where(~bad).select("r.*").drop("_corrupt"), rows.where(bad).select("value")
 
 
+def validated(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED, schema: str = CORPUS) -> DataFrame:
+    """One row: records, empty_text, incomplete (a required field is missing), malformed lines, and whether all is well. Lines are read once."""
+    text = spark.read.text(path).where(T.not_blank(F.col("value")))
+    rows = text.select(F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    good = F.col("r._corrupt").isNull()
+    gone = F.lit(False)
+    for c in required:
+        gone = gone | F.col(f"r.{c}").isNull()
+    out = rows.agg(F.count_if(good).alias("records"), F.count_if(good & ~T.not_blank(F.col("r.text"))).alias("empty_text"), F.count_if(good & gone).alias("incomplete"), F.count_if(~good).alias("malformed"))
+    return out.withColumn("valid", (F.col("empty_text") == 0) & (F.col("incomplete") == 0) & (F.col("malformed") == 0))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

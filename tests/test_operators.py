@@ -2,12 +2,14 @@
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import agreement, bm25, chunking, dense, metrics, noise, rag, robustness, stats
+from palimpsest.operators import agreement, bm25, chunking, dense, metrics, noise, rag, ranking, robustness, stats
 from palimpsest.plans import steps
 from palimpsest.sources import files, markup
 
@@ -230,3 +232,82 @@ def test_steps(spark, tmp_path, tiny, capsys):
     assert [s.number for s in steps.chosen(first=9)] == [9, 10, 11] and [s.number for s in steps.chosen(only=[2])] == [2]
     assert steps.main([tiny, str(tmp_path), "--dry-run"]) == 0
     assert not steps.run(spark, "/nowhere", str(tmp_path), steps.chosen(only=[2]))
+
+
+def test_places_and_percentiles_from_counts(spark):
+    rng = np.random.default_rng(0)
+    values = np.concatenate([np.round(rng.normal(size=400), 1), np.full(200, 0.5)])
+    df = spark.createDataFrame([(float(v), 1) for v in values] + [(None, 1)], "v double, one int").repartition(5)
+    got = {r["v"]: (r["n"], r["before"], r["one"]) for r in ranking.before(df, "v", "one").collect()}
+    assert got == {v: ((values == v).sum(), (values < v).sum(), (values == v).sum()) for v in set(values.tolist())}
+    shares = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}
+    assert np.allclose(ranking.at_shares(df, "v", shares).first(), np.quantile(values, list(shares.values())))
+    assert ranking.at_shares(df.where("v > 99"), "v", shares).first() == (None,) * 4
+    one = stats.describe(df, "v").first()
+    assert one["n"] == 600 and abs(one["median"] - np.median(values)) < 1e-12 and abs(one["std"] - values.std(ddof=1)) < 1e-9
+
+
+def test_split_sentences_by_hand(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "a.", "word.", "End", "of", "it's\n", "x. y."]) for _ in range(n)) for n in (0, 1, 5, 30, 31, 60, 300)] + [None, "  "]
+
+    def count(text, size=12, overlap=3):
+        words = (text or "").split()
+        starts = list(range(0, len(words), size - overlap))
+        places = [len(" ".join(words[: min(s + size, len(words))])) for s in starts[:-1]]
+        spans = [(text.find(s), len(s)) for s in dict.fromkeys(text.split("."))] if text else []
+        return sum(any(a < p < a + n for a, n in spans) for p in places)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r[0]: r[1] for r in df.select("doc_id", chunking.split_sentences(F.col("text"), 12, 3)).collect()}
+    assert [got[i] or 0 for i in range(len(texts))] == [count(t) for t in texts]
+
+
+def test_fixed_chunks_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([("word " * n,)], "text string")
+        best = 99.0
+        for _ in range(3):
+            began = time.time()
+            assert df.select(F.size(chunking.fixed_chunks(F.col("text"), 64, 8)).alias("n")).first()["n"] == -(-n // 56)
+            best = min(best, time.time() - began)
+        return best
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * max(seconds(10_000), 0.1)
+
+
+def test_judgments_of_short_items(spark, tmp_path):
+    from palimpsest.plans import base
+
+    docs = ["foo bar. one two three four five six seven", "xfoo bary and Z", "foo", "", None, "漢字 is here"]
+    items = ["foo", "foo bar", "Z", "two three four five", "ne two three four five six sev", "", "字", "no such thing at all here"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["qid"], r["doc_id"]) for r in base.judgments(spark, str(tmp_path)).collect())
+    assert got == sorted((q, k) for q, t in enumerate(items) for k, d in enumerate(docs) if t and d and t in d)
+
+
+def test_dense_blocks_give_the_same(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(np.round(rng.normal(size=(200, 6)), 3))], "id long, vec array<double>, label int")
+    queries = rows.where("id < 23").select(F.col("id").alias("qid"), "vec")
+    for group in (None, "label"):
+        keys = ["qid"] + ([group] if group else [])
+        best = lambda df: sorted(tuple(r) for r in bm25.ranked(df, 5, keys, "id").select(*keys, "id", "score", "rank").collect())  # noqa: B023, E731
+        assert best(dense.scores(rows, queries, 5, group)) == best(dense.scores(rows, queries, 5, group, query_block=7, row_block=30))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from palimpsest import shared
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError):
+        shared.scratch(session("spark://host:7077"), "x")
+    with pytest.raises(ValueError):
+        shared.scratch(session("local-cluster[2,1,1024]"), "x")
+    assert shared.scratch(session("yarn", "hdfs:///tmp"), "x").startswith("hdfs:///tmp/x-") and shared.scratch(session("local[4]"), "x")

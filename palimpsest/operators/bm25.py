@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import materialise
 from . import postings as P
 
 DIGITS = 8
@@ -38,7 +39,7 @@ def zero_filled(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int) ->
 def smooth_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """qid, doc_id, score of documents with a query term; idf = ln((N - df + 0.5) / (df + 0.5) + 1)."""
     terms = P.query_terms(queries)
-    posts = P.postings_and_lengths(docs, terms)
+    posts = materialise(P.postings_and_lengths(docs, terms), "postings")  # read three times
     stats = P.corpus_stats(posts)  # one row
     hits = posts.join(P.frequency_in(posts), "term").join(terms, "term").join(F.broadcast(stats))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -48,14 +49,14 @@ def smooth_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float
 
 def smooth(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """qid, doc_id, score, rank: exactly k documents a query where there are so many, those without a query term last."""
-    hits = ranked(smooth_scores(docs, queries), k).drop("rank")
+    hits = materialise(ranked(smooth_scores(docs, queries), k).drop("rank"), "hits")  # k rows a query
     return ranked(zero_filled(hits, docs, queries, k), k).select("qid", "doc_id", "score", "rank")
 
 
 def by_group(docs: DataFrame, queries: DataFrame, group: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """group, qid, doc_id, score with N, df and average length of each group."""
     terms = P.query_terms(queries)
-    posts = P.postings_and_lengths(docs, terms, T.tok_regex, group)
+    posts = materialise(P.postings_and_lengths(docs, terms, T.tok_regex, group), "postings")
     stats = P.corpus_stats(posts, group)
     hits = posts.join(P.frequency_in(posts, group), [group, "term"]).join(terms, "term").join(stats, group)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -67,7 +68,7 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b:
     """qid, doc_id, score, rank with white-space tokens; idf = ln(N - df + 0.5) - ln(df + 0.5), negative ones replaced by epsilon times the mean idf of the vocabulary; top k, then only scores above 0."""
     words = lambda c: T.tok_ws(c, lower=True)
     terms = P.query_terms(queries, words)
-    posts = P.postings_and_lengths(docs, terms, words)
+    posts = materialise(P.postings_and_lengths(docs, terms, words), "postings")
     stats = P.corpus_stats(posts)  # one row
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = P.doc_frequency(docs, words).join(F.broadcast(stats)).withColumn("raw", raw)

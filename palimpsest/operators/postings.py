@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import small
 
 
 def tokens(docs: DataFrame, words=T.tok_regex, *keep: str) -> DataFrame:
@@ -22,7 +23,7 @@ def postings_of(docs: DataFrame, terms: DataFrame, words=T.tok_regex, *keep: str
     """doc_id, the kept columns, dl, term, tf for the terms of `terms` only: other tokens go before anything shuffles, and each text is cut once for its length and its tokens."""
     cut = docs.select("doc_id", *keep, words(F.col("text")).alias("w"))
     rows = cut.select("doc_id", *keep, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    rows = rows.join(small(terms.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("doc_id", *keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -35,7 +36,7 @@ def postings_and_lengths(docs: DataFrame, terms: DataFrame, words=T.tok_regex, *
     cut = docs.select("doc_id", *keep, F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
     rows = cut.select("doc_id", *keep, F.size("w").cast("long").alias("dl"), F.explode(F.array_append("w", F.lit(EVERY))).alias("term"))
     wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
-    rows = rows.join(wanted, "term", "left_semi")
+    rows = rows.join(small(wanted), "term", "left_semi")
     return rows.groupBy("doc_id", *keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

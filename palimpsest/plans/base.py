@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.stats import STOPWORDS_LONG, STOPWORDS_SHORT
-from ..shared import materialise, table
+from ..shared import materialise, small, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,7 +118,7 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     Items and documents meet on a hash of three tokens in a row, then the whole text is compared: no document is compared with all
     items. Items are cut as documents are, so that an item inside a document shares its inner tokens with it. Items with too few
     tokens meet documents on their first characters, SHORT_KEY at most. Documents' keys meet items' before anything shuffles
-    while Spark finds the items small enough to broadcast. An empty item is in no document.
+    while the items, which are counted, are few enough to broadcast. An empty item is in no document.
     """
     key = lambda words, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     q = questions(spark, sf_dir).withColumn("w", T.tok_regex(F.col("text")))
@@ -128,13 +128,13 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     words = T.tok_regex(F.col("text"))
     grams = d.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: key(F.col("w"), i)))).alias("key"))
-    hits = grams.join(long_, "key").select("doc_id", "qid", "item").distinct().join(d, "doc_id").where(F.col("text").contains(F.col("item")))
+    hits = grams.join(small(long_), "key").select("doc_id", "qid", "item").distinct().join(d, "doc_id").where(F.col("text").contains(F.col("item")))
     out = hits.select("qid", "doc_id", F.lit(1).alias("rel"))
     for n in sorted(r[0] for r in short.select(F.length("key")).distinct().collect()):  # SHORT_KEY numbers at most
         runs = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("key"))
-        some = runs.join(short.where(F.length("key") == n), "key").select("doc_id", "qid", "item").distinct().join(d, "doc_id").where(F.col("text").contains(F.col("item")))
+        some = runs.join(small(short.where(F.length("key") == n)), "key").select("doc_id", "qid", "item").distinct().join(d, "doc_id").where(F.col("text").contains(F.col("item")))
         out = out.unionByName(some.select("qid", "doc_id", F.lit(1).alias("rel")))
-    return out
+    return materialise(out, "judgments")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

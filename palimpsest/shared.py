@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
 
@@ -34,5 +35,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few words each that may be broadcast.
+MOST_BROADCAST = 100_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, which are counted; else as it is, and joins shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,12 +4,13 @@
 2. Histogram: how many documents leave which remainder modulo the window, over all documents (at most window-1 numbers).
 3. Plan: enumerate shallow combinations of lengths that fill a window exactly (two lengths, or three with two of them
    popular), and solve min |A x - h|, x >= 0 for the repeat counts x by coordinate descent.
-4. Place, in each task for its own documents: whole windows first; then each combination as often as its share of the plan,
-   rounded, and the lengths at hand allow; then residuals greedily, longest first, the longest that fits next, and if none
+4. Place, in each task for its own documents, HELD ids at a time: whole windows first; then each combination as often as its share
+   of the plan and the lengths at hand allow, rounded up or down by a hash of task and combination, so that the whole table gets
+   the solved counts however many tasks there are; then residuals greedily, longest first, the longest that fits next, and if none
    does the next one is cut. What is left at a task's end is cut into powers of two, so no sequence needs padding.
 
 sequence_id is the task's number times 2^32 plus a count: unique, not gapless. Null texts are empty documents of one id (the
-end id). Rows that repeat a doc_id are packed one by one. Empty tables give no rows; extra columns are ignored.
+end id), long ones are cut into windows. Rows that repeat a doc_id are packed one by one. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common, word_ids
 
 WINDOW = 2048
+#: Ids that a task places at a time.
+HELD = 1 << 25
 #: How many popular lengths may stand twice in a combination of three.
 POPULAR = 40
 
@@ -61,8 +64,12 @@ def nnls(combos: list[tuple[int, ...]], histogram: np.ndarray, sweeps: int = 60,
     return np.array(x)
 
 
-def place(lengths: np.ndarray, plan: list[tuple[tuple[int, ...], float]], window: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of documents of these lengths. plan: combinations and their shares a document."""
+def place(lengths: np.ndarray, plan: list[tuple[tuple[int, ...], float]], window: int, seed: int = 0) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, sequence, offset) of documents of these lengths. plan: combinations and their shares a document.
+
+    seed: what the rounding of shares depends on; each is rounded up as often as its fraction says.
+    """
+    fractions = np.random.default_rng(seed).random(len(plan)).tolist()
     pieces, sequence = [], 0
     full, rest = lengths // window, lengths % window
     for doc in np.flatnonzero(full).tolist():
@@ -73,9 +80,9 @@ def place(lengths: np.ndarray, plan: list[tuple[tuple[int, ...], float]], window
     for doc in np.flatnonzero(rest).tolist():
         by_length.setdefault(int(rest[doc]), []).append(doc)
     begin = (full * window).tolist()
-    for combo, share in plan:
+    for (combo, share), up in zip(plan, fractions, strict=True):
         most = min(len(by_length.get(a, ())) // combo.count(a) for a in combo)
-        for _ in range(min(most, int(np.ceil(share * len(lengths))))):
+        for _ in range(min(most, int(share * len(lengths) + up))):
             at = 0
             for a in combo:
                 doc = by_length[a].pop()
@@ -134,6 +141,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and their ids if asked for."""
+    spark = docs.sparkSession
+    with common.temporary(spark):  # the ids go once the pieces are written
+        return common.kept(_pieces(docs, tokenizer, end_id, window, with_ids), "packing-pieces")
+
+
+def _pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, with_ids: bool) -> DataFrame:
     spark = docs.sparkSession
     coded = common.materialise(encode_documents(docs, tokenizer, end_id), "packing-ids")
     counts = coded.groupBy((F.col("n") % window).alias("rest")).count().collect()  # window rows at most
@@ -150,21 +163,33 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        first, parts = TaskContext.get().partitionId() << 32, [b for b in batches if len(b)]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        keys, ids, kind = pdf["doc_id"].tolist(), pdf["ids"].tolist(), f"<u{int(pdf['width'][0])}"
-        n = pdf["n"].to_numpy(np.int64)
-        pieces = place(n, shared.value, window)
-        for i in range(0, len(pieces), 5000):
-            doc, start, length, sequence, at = (np.array(x, np.int64) for x in zip(*pieces[i : i + 5000], strict=True))
-            cut = [np.frombuffer(ids[d], kind)[s : s + k].astype("<u4").tobytes() for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-            out = {
-                "doc_id": pd.array([None if keys[d] is None else int(keys[d]) for d in doc], "Int64"), "start": start, "length": length, "ids_crc32": [zlib.crc32(c) for c in cut],
-                "doc_tokens": n[doc], "sequence_id": first + sequence, "offset": at,
-            }
-            yield pd.DataFrame(out | ({"ids": cut} if with_ids else {}))
+        task, first, parts, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def placed() -> Iterator[pd.DataFrame]:
+            nonlocal first
+            pdf = pd.concat(parts, ignore_index=True)
+            keys, ids, kind = pdf["doc_id"].tolist(), pdf["ids"].tolist(), f"<u{int(pdf['width'][0])}"
+            n = pdf["n"].to_numpy(np.int64)
+            pieces = place(n, shared.value, window, (task << 32) + first)
+            for i in range(0, len(pieces), 5000):
+                doc, start, length, sequence, at = (np.array(x, np.int64) for x in zip(*pieces[i : i + 5000], strict=True))
+                cut = [np.frombuffer(ids[d], kind)[s : s + k].astype("<u4").tobytes() for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                out = {
+                    "doc_id": pd.array([None if keys[d] is None else int(keys[d]) for d in doc], "Int64"), "start": start, "length": length, "ids_crc32": [zlib.crc32(c) for c in cut],
+                    "doc_tokens": n[doc], "sequence_id": (task << 32) + first + sequence, "offset": at,
+                }
+                yield pd.DataFrame(out | ({"ids": cut} if with_ids else {}))
+            first += max((p[3] for p in pieces), default=-1) + 1
+
+        for pdf in batches:
+            if len(pdf):
+                parts.append(pdf)
+                held += int(pdf["n"].sum())
+            if held >= HELD:
+                yield from placed()
+                parts, held = [], 0
+        if parts:
+            yield from placed()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return coded.mapInPandas(run, schema + (", ids binary" if with_ids else ""))

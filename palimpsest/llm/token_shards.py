@@ -2,11 +2,12 @@
 
 A shard file holds raw little-endian ids, then the documents' offsets, then an index: a cascade of bit arrays (each level
 keeps the keys that alone hash to their bit; the others go on to the next) whose rank is a minimal perfect hash of the
-document keys. Every slot stores a fingerprint and the document's ordinal, so a lookup is a few hashes and one read.
+document keys. Every slot stores a fingerprint and the document's ordinal. Ranks are stored for every RANK_BITS bits, so a lookup in
+a file is a few hashes and short ranged reads, however large the file is.
 
     [ids][arrays ...][directory as JSON][length of the directory, 8 bytes]["PALSHRD1"]
 
-Null texts are empty documents (just the end id). Null doc_ids come first, are written and read back, but have no key.
+Null texts are empty documents (just the end id); a very long one makes its shard as much longer. Null doc_ids come first, are written and read back, but have no key.
 Rows that repeat a doc_id stand next to each other; the index gives their first ordinal and their number. Empty tables give
 no shards and no rows; extra columns are ignored.
 """
@@ -14,6 +15,7 @@ no shards and no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -72,6 +74,10 @@ class PerfectHash:
         return out
 
 
+#: Bits between stored ranks.
+RANK_BITS = 512
+
+
 def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
@@ -88,7 +94,7 @@ def pack_shard(keys: list, payloads: list[bytes], width: int) -> bytes:
     slot = mph.slots(distinct)
     prints, ordinal, run = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
     prints[slot], ordinal[slot], run[slot] = fingerprints(distinct), there[first] if len(there) else first, runs
-    arrays = {"key": key, "null": null, "start": starts, "length": lengths, "bits": mph.bits, "sizes": mph.sizes, "prints": prints, "ordinal": ordinal, "run": run}
+    arrays = {"key": key, "null": null, "start": starts, "length": lengths, "bits": mph.bits, "ranks": mph.rank[:-1:RANK_BITS], "sizes": mph.sizes, "prints": prints, "ordinal": ordinal, "run": run}
     out, at = [*payloads], sum(map(len, payloads))
     directory: dict = {"width": width, "arrays": {}}
     for name, a in arrays.items():
@@ -135,6 +141,51 @@ class Shard:
         return [self.ids(int(at[0]) + i) for i in range(int(n[0]))]
 
 
+class ShardFile:
+    """Keyed access to a shard in an open file, by ranged reads: nothing of it is held but the directory and the sizes of the levels."""
+
+    def __init__(self, file):
+        self.file, end = file, file.size() - 16
+        if end < 0 or self.read(end + 8, 8) != MAGIC:
+            raise ValueError("not a token shard")
+        size = int.from_bytes(self.read(end, 8), "little")
+        directory = json.loads(self.read(end - size, size))
+        self.width, self.arrays = directory["width"], directory["arrays"]
+        self.sizes = self.values("sizes", 0, self.arrays["sizes"][2]).tolist()
+
+    def read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def values(self, name: str, first: int, n: int) -> np.ndarray:
+        kind, at, _ = self.arrays[name]
+        step = np.dtype(kind).itemsize
+        return np.frombuffer(self.read(at + first * step, n * step), kind)
+
+    def slot(self, key: int) -> int:
+        """The key's slot; -1 where no level holds it."""
+        keys, start = np.array([key], np.int64), 0
+        for level, size in enumerate(self.sizes):
+            bit = start + int(mix64(keys, level)[0] % np.uint64(size))
+            block = bit // RANK_BITS
+            bits = np.unpackbits(self.values("bits", block * RANK_BITS // 8, min(RANK_BITS // 8, self.arrays["bits"][2] - block * RANK_BITS // 8)))
+            if bits[bit % RANK_BITS]:
+                return int(self.values("ranks", block, 1)[0]) + int(bits[: bit % RANK_BITS].sum())
+            start += size
+        return -1
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every document with this key."""
+        slot = self.slot(key)
+        if slot < 0 or self.values("prints", slot, 1)[0] != fingerprints(np.array([key], np.int64))[0]:
+            return []
+        first, run = int(self.values("ordinal", slot, 1)[0]), int(self.values("run", slot, 1)[0])
+        if int(self.values("key", first, 1)[0]) != key:
+            return []
+        starts, lengths = self.values("start", first, run).tolist(), self.values("length", first, run).tolist()
+        return [np.frombuffer(self.read(a * self.width, n * self.width), f"<u{self.width}") for a, n in zip(starts, lengths, strict=True)]
+
+
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, shard_ids: int = 1 << 25) -> pd.DataFrame:
     """Encode docs (doc_id, text) and write shards in ascending doc_id order under `out`.
 
@@ -147,11 +198,11 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, sha
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, enc = TaskContext.get().partitionId(), word_ids.encoder(tokenizer)
+        task, attempt, enc = TaskContext.get().partitionId(), uuid.uuid4().hex, word_ids.encoder(tokenizer)
         end, keys, payloads, held, n = end_id.to_bytes(enc.width, "little"), [], [], 0, 0
 
         def flush() -> dict:
-            name = f"{task:07d}-{n:04d}.ids"
+            name = f"{task:07d}-{n:04d}-{attempt}.ids"
             f = common.open_output(f"{out}/{name}")
             f.write(pack_shard(keys, payloads, enc.width))
             f.close()
@@ -177,19 +228,16 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, sha
 
 
 def read_shards(spark: SparkSession, out: str, manifest: pd.DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, each found through its shard's index."""
-    base = spark.sparkContext.broadcast(dict(zip(manifest["name"].tolist(), manifest["base"].tolist(), strict=True)))
+    """(doc_id, start, n_tokens, ids_crc32) of every document, each found through its shard's index. Only files that the manifest names are read."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if manifest.empty:
         return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
-                if name not in base.value:  # a file of a task attempt that the manifest doesn't know
-                    continue
-                shard = Shard(content)
+            for name, base in zip(pdf["name"].tolist(), pdf["base"].tolist(), strict=True):
+                with common.open_input(f"{out}/{name}") as f:
+                    shard = Shard(f.read())
                 keyed = np.flatnonzero(shard.null == 0)
                 distinct = np.unique(shard.key[keyed])
                 at, n = shard.find(distinct)
@@ -199,11 +247,11 @@ def read_shards(spark: SparkSession, out: str, manifest: pd.DataFrame) -> DataFr
                 crc = [zlib.crc32(shard.ids(i).astype("<u4").tobytes()) for i in order]
                 yield pd.DataFrame({
                     "doc_id": pd.Series(shard.key[order]).astype("Int64").mask(shard.null[order] == 1),
-                    "start": shard.start[order] + base.value[name], "n_tokens": shard.length[order], "ids_crc32": crc,
+                    "start": shard.start[order] + base, "n_tokens": shard.length[order], "ids_crc32": crc,
                 })
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(out).select("path", "content")
-    return files.mapInPandas(read, schema)
+    files = spark.createDataFrame(manifest[["name", "base"]], "name string, base long")
+    return files.repartition(min(len(manifest), 20_000), "name").mapInPandas(read, schema)
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

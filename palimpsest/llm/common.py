@@ -6,13 +6,14 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
 from ..shared import scratch, table
 
-__all__ = ["free_name", "importable", "kept", "materialise", "open_input", "open_output", "remove", "scratch", "small_batches", "table", "temporary", "valid_vectors"]
+__all__ = ["free_name", "importable", "kept", "materialise", "open_input", "open_output", "remove", "sample", "scratch", "small_batches", "table", "temporary", "valid_vectors"]
 
 #: Scratch tables of the operators that run just now, innermost last.
 _scopes: list[list[str]] = []
@@ -105,6 +106,14 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
+def sample(vectors: DataFrame, rows: int, total: int) -> pd.DataFrame:
+    """At most so many rows (id, ...) of a table of `total`, chosen by a hash of the id: those below a bound first, so that tasks send few."""
+    h, space = F.xxhash64("id"), 1 << 64
+    if total > 2 * rows:
+        vectors = vectors.where(h < int(-(1 << 63) + 1.5 * rows / total * space))
+    return vectors.orderBy(h, "id").limit(rows).toPandas()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

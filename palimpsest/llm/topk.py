@@ -6,7 +6,7 @@ length times the chunk's largest length can't reach its threshold is done with t
 dimensions of an SVD rotation give partial sums, and Cauchy-Schwarz on the residuals bounds the rest. Pairs that
 survive are scored exactly. Thresholds begin at each query's k-th best score among the longest vectors.
 
-Vectors that are null, or hold nulls or non-finite values, take no part, nor do rows without an id. Shorter vectors count as padded
+Ties in score go to the smaller id. Vectors that are null, or hold nulls or non-finite values, take no part, nor do rows without an id. Shorter vectors count as padded
 with zeros. Rows that repeat an id are candidates each; as queries they are one (the smallest vector). Empty tables give
 no rows; extra columns are ignored.
 """
@@ -23,6 +23,8 @@ from . import common
 #: Bounds: rows that fit the rotation and the bands, seeds of the thresholds, norm bands, rows of a block, queries of a block.
 SAMPLE, SEEDS, BANDS, BLOCK, QUERY_BLOCK = 8192, 2048, 32, 8192, 4096
 CHUNK = 1024
+#: Ranges of needs that queries are dealt into.
+MOST_SPANS = 64
 
 
 def stack(vectors, dim: int) -> np.ndarray:
@@ -36,11 +38,6 @@ def stack(vectors, dim: int) -> np.ndarray:
     return out
 
 
-def sample(vectors: DataFrame, rows: int) -> pd.DataFrame:
-    """A bounded sample that depends on ids only."""
-    return vectors.orderBy(F.xxhash64("id"), "id").limit(rows).toPandas()
-
-
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest scores, ties to smaller ids."""
     if len(scores) > k:
@@ -115,19 +112,19 @@ class Pruner:
 def top_k(vectors: DataFrame, query_filter, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest integer inner products of every query with all other rows.
 
-    vectors: (id long, vec array<long>). Candidates are copied once for each block of queries, queries once for each block of
-    candidates; every group is bounded by block and query_block.
+    vectors: (id long, vec array<long>). Every group is bounded by block and query_block. Queries are dealt into blocks by how long a
+    candidate must be for them (threshold over length), and a block of queries and a band of candidates meet only if the band's longest
+    vector reaches that: the others are pruned before anything is copied.
     """
     spark = vectors.sparkSession
     rows = vectors.withColumn("norm2", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     queries = rows.where(query_filter).groupBy("id").agg(F.min("vec").alias("vec"))
     schema = "query_id long, rank int, vec_id long, score long"
-    fit = sample(rows, SAMPLE)
-    if fit.empty:
-        return spark.createDataFrame([], schema)
-    dim, n_queries = int(rows.agg(F.max(F.size("vec"))).first()[0]), queries.count()
-    if not n_queries:
+    total, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    n_queries = queries.count()
+    if not total or not n_queries:
         return spark.createDataFrame([], schema)
+    fit = common.sample(rows, SAMPLE, total)
     matrix = stack(fit["vec"], dim)
     rotation = np.linalg.eigh(matrix.T @ matrix)[1][:, ::-1].copy() if dim else np.zeros((0, 0))
     edges = sorted({float(e) for e in np.quantile(fit["norm2"], np.linspace(0, 1, BANDS + 1)[1:-1])}, reverse=True)
@@ -135,12 +132,15 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10, block: int = BLOCK, que
     for e in edges:  # band 0 holds the longest vectors
         band = band + (F.col("norm2") < e).cast("int")
     rows = rows.withColumn("band", band)
-    counts = {r["band"]: r["count"] for r in rows.groupBy("band").count().collect()}
-    subs = [-(-counts.get(b, 0) // block) or 1 for b in range(len(edges) + 1)]
+    bands = {r["band"]: r for r in rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("most")).collect()}  # BANDS rows
+    subs = [-(-bands[b]["n"] // block) if b in bands else 1 for b in range(len(edges) + 1)]
+    # the longest vector of a band, a little more against rounding
+    most = [float(np.sqrt(bands[b]["most"])) * (1 + 1e-9) if b in bands else -1.0 for b in range(len(edges) + 1)]
     first = np.concatenate([[0], np.cumsum(subs)]).astype(int).tolist()
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("band") + 1)
-    n_blocks, n_query_blocks = first[-1], -(-n_queries // query_block)
-    longest = rows.orderBy(F.col("norm2").desc(), "id").limit(SEEDS).select("id", "vec").toPandas()
+    n_blocks, n_query_blocks = first[-1], min(MOST_SPANS, -(-n_queries // query_block))
+    long_ = rows.where(F.col("norm2") >= float(np.quantile(fit["norm2"], max(0.0, 1 - 2 * SEEDS / total)))).select("id", "vec")
+    longest = common.sample(long_, SEEDS, long_.count())  # of equal lengths some will do
     seeds, seed_ids = stack(longest["vec"], dim), longest["id"].to_numpy(np.int64)
     pruner = Pruner(rotation, k)
 
@@ -152,7 +152,10 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10, block: int = BLOCK, que
             scores = pruner.exact(q, seeds).astype(float)
             scores[pdf["id"].to_numpy()[:, None] == seed_ids[None]] = -np.inf
             threshold = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
-            yield pdf.assign(threshold=threshold)
+            length = np.sqrt((q**2).sum(1))
+            # a candidate shorter than this can't reach the threshold; a query of no length ties with all
+            need = np.where((threshold > 0) & (length > 0), (threshold - 1e-6 * (1 + threshold)) / np.maximum(length, 1e-300), -1.0)
+            yield pdf.assign(threshold=threshold, need=need)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -161,10 +164,25 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10, block: int = BLOCK, que
         at, ids, scores, _ = pruner.run(query_ids, stack(right["vec"], dim), right["threshold"].to_numpy(float), left["id"].to_numpy(np.int64), stack(left["vec"], dim))
         return pd.DataFrame({"query_id": query_ids[at], "vec_id": ids, "score": scores.astype(np.int64)})
 
-    count = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "vec", (pick(first[:-1]) + F.pmod(F.xxhash64("id", F.lit(7)), pick(subs))).cast("int").alias("block"), count(n_query_blocks).alias("qblock"))
-    right = queries.mapInPandas(begin, "id long, vec array<long>, threshold double")
-    right = right.select("id", "vec", "threshold", count(n_blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int").alias("qblock"))
+    right = common.materialise(queries.mapInPandas(begin, "id long, vec array<long>, threshold double, need double"), "topk-queries")
+    # blocks of queries with like needs: ranges of it, split by a hash where many are equal
+    cuts = sorted({float(e) for e in np.quantile(common.sample(right.select("id", "need"), SAMPLE, n_queries)["need"], np.linspace(0, 1, n_query_blocks + 1)[1:-1])}) if n_query_blocks > 1 else []
+    span = F.lit(0)
+    for c in cuts:
+        span = span + (F.col("need") >= c).cast("int")
+    right = right.withColumn("span", span)
+    spans = {r["span"]: r for r in right.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least")).collect()}  # one for each block of queries
+    parts = [-(-spans[i]["n"] // query_block) if i in spans else 1 for i in range(len(cuts) + 1)]
+    begins = np.concatenate([[0], np.cumsum(parts)]).astype(int).tolist()
+    least = [spans[i]["least"] if i in spans else float("inf") for i in range(len(cuts) + 1) for _ in range(parts[i])]
+    of = lambda values, at: F.get(F.array(*map(F.lit, values)), at)
+    right = right.withColumn("qblock", (of(begins[:-1], F.col("span")) + F.pmod(F.xxhash64("id"), of(parts, F.col("span")))).cast("int"))
+    reach = lambda longest, need: longest >= need
+    of_block = F.array(*(F.lit(m) for m, k in zip(most, subs, strict=True) for _ in range(k)))
+    needs = F.array(*map(F.lit, least))
+    left = rows.select("id", "vec", "band", (pick(first[:-1]) + F.pmod(F.xxhash64("id", F.lit(7)), pick(subs))).cast("int").alias("block"))
+    left = left.select("id", "vec", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(least) - 1)), lambda q: reach(pick(most), F.get(needs, q)))).alias("qblock"))
+    right = right.select("id", "vec", "threshold", "qblock", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda b: reach(F.get(of_block, b), F.col("need")))).alias("block"))
     hits = left.groupBy("block", "qblock").cogroup(right.groupBy("block", "qblock")).applyInPandas(meet, "query_id long, vec_id long, score long")
     return ranked(hits, k)
 

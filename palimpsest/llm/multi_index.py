@@ -10,7 +10,7 @@ sqrt(largest length^2 - own length^2), which is 0 for queries.
 All rows are indexed; no cell is cut: rows of one first-half centroid are split by a hash into blocks of bounded size, and a
 query meets all blocks of the cells it walks. A query goes on past its share until k rows are seen.
 
-Zero vectors, nulls and non-finite values take no part, nor do rows without an id. Shorter vectors count as padded with zeros. Rows
+Ties in score go to the smaller id. Zero vectors, nulls and non-finite values take no part, nor do rows without an id. Shorter vectors count as padded with zeros. Rows
 that repeat an id are candidates each; as queries they are one (the smallest vector). Empty tables give no rows; extra
 columns are ignored.
 """
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .topk import best, ranked, sample, stack
+from .topk import best, ranked, stack
 
-#: Bounds: rows that fit the centroids, calibration queries, centroids of a half (at most 62: a long holds a set of them), rows and queries of a block.
-SAMPLE, CALIBRATION, CENTROIDS, BLOCK, QUERY_BLOCK = 8192, 96, 32, 8192, 4096
+#: Bounds: rows that fit the centroids, calibration queries, centroids of a half, rows and queries of a block.
+SAMPLE, CALIBRATION, CENTROIDS, BLOCK, QUERY_BLOCK = 8192, 96, (16, 128), 8192, 4096
+#: Centroids of a half grow with the square root of the rows, one for so many of it.
+ROOTS = 8
 #: The recall that the share of rows is chosen for.
 RECALL = 0.96
 
@@ -101,8 +103,11 @@ def nearest(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, rough: np.n
     return ids[among[top]], exact[top]
 
 
-def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int = CENTROIDS, recall: float = RECALL, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest rows found. vectors: (id long, vec array<double>)."""
+def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int | None = None, recall: float = RECALL, block: int = BLOCK, query_block: int = QUERY_BLOCK, report: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k nearest rows found. vectors: (id long, vec array<double>).
+
+    report: is given the centroids of both halves and the share of all rows that a query visits.
+    """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
@@ -112,7 +117,9 @@ def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int = CENTR
     n_queries = queries.count()
     if not total or not n_queries:
         return spark.createDataFrame([], schema)
-    index = Index(stack(sample(rows, SAMPLE)["vec"], dim), largest2, centroids)
+    if centroids is None:
+        centroids = int(min(CENTROIDS[1], max(CENTROIDS[0], total**0.5 / ROOTS)))
+    index = Index(stack(common.sample(rows, SAMPLE, total)["vec"], dim), largest2, centroids)
 
     def assign(batches):
         for pdf in batches:
@@ -123,12 +130,12 @@ def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int = CENTR
     coded = common.materialise(rows.select("id", "vec").mapInPandas(assign, "id long, vec array<double>, c1 int, c2 int"), "multi-index")
     k1, k2 = len(index.first), len(index.second)
     counts = np.zeros((k1, k2), np.int64)
-    for r in coded.groupBy("c1", "c2").count().collect():  # CENTROIDS^2 rows at most
+    for r in coded.groupBy("c1", "c2").count().collect():  # at most the square of the centroids
         counts[r["c1"], r["c2"]] = r["count"]
     cells = counts.tolist()
 
     # the share of rows to see: true neighbours of the calibration queries, and how many rows come before their cells
-    probe = sample(queries, CALIBRATION)
+    probe = common.sample(queries, CALIBRATION, n_queries)
     probe_ids, probe_q = probe["id"].to_numpy(np.int64), stack(probe["vec"], dim)
 
     def brute(batches):
@@ -162,6 +169,10 @@ def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int = CENTR
     before = [order[r["query_id"]][r["cell"]] / total for r in merged]
     share = float(np.quantile(before, recall)) if before else 1.0
     target = max(k + 1.0, share * total + 1)
+    if report is not None:
+        report |= {"centroids": (k1, k2), "visited": min(1.0, target / total)}
+
+    width = -(-k2 // 8)  # bytes of a set of second-half centroids
 
     def plan(batches):
         for pdf in batches:
@@ -172,22 +183,22 @@ def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int = CENTR
             d1, d2 = distances(a, index.first), distances(b, index.second)
             out = []
             for i in range(len(q)):
-                masks: dict[int, int] = {}
+                masks: dict[int, bytearray] = {}
                 for c1, c2 in walk(d1[i], d2[i], cells, target):
                     if cells[c1][c2]:
-                        masks[c1] = masks.get(c1, 0) | 1 << c2
+                        masks.setdefault(c1, bytearray(width))[c2 >> 3] |= 1 << (c2 & 7)
                 out.append(masks)
             at = [i for i, m in enumerate(out) for _ in m]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "c1": np.array([c for m in out for c in m], np.int32), "mask": np.array([v for m in out for v in m.values()], np.int64)})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "c1": np.array([c for m in out for c in m], np.int32), "mask": [bytes(v) for m in out for v in m.values()]})
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         if len(left) and len(right):
             x, ids, code = stack(left["vec"], dim), left["id"].to_numpy(np.int64), left["c2"].to_numpy(np.int64)
-            q, own, mask = stack(right["vec"], dim), right["id"].to_numpy(np.int64), right["mask"].to_numpy(np.int64)
+            q, own, mask = stack(right["vec"], dim), right["id"].to_numpy(np.int64), np.unpackbits(np.frombuffer(b"".join(right["mask"]), np.uint8).reshape(-1, width), axis=1, bitorder="little")
             for at in range(0, len(q), 256):
                 rough = q[at : at + 256] @ x.T
-                rough[(mask[at : at + 256, None] >> code[None]) & 1 == 0] = -np.inf
+                rough[mask[at : at + 256][:, code] == 0] = -np.inf
                 for i in range(len(rough)):
                     found.append((own[at + i], *nearest(q[at + i], own[at + i], x, ids, rough[i], k)))
         n = [len(f[1]) for f in found]
@@ -199,7 +210,7 @@ def search(vectors: DataFrame, query_filter, k: int = 20, centroids: int = CENTR
     n_sub = F.element_at(F.array(*map(F.lit, subs)), F.col("c1") + 1)
     count = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = coded.select("id", "vec", "c1", "c2", F.pmod(F.xxhash64("id", F.lit(7)), n_sub).cast("int").alias("sub"), count(F.lit(n_query_blocks)).alias("qblock"))
-    right = queries.mapInPandas(plan, "id long, vec array<double>, c1 int, mask long")
+    right = queries.mapInPandas(plan, "id long, vec array<double>, c1 int, mask binary")
     right = right.select("id", "vec", "c1", "mask", count(n_sub).alias("sub"), F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int").alias("qblock"))
     keys = ["c1", "sub", "qblock"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")

@@ -157,6 +157,20 @@ def test_packing_plan():
     pieces = packing.place(lengths, [(c, v / len(lengths)) for c, v in zip(combos, x, strict=True) if v > 0], 2048)
     assert sum(p[2] for p in pieces) == lengths.sum()
     assert len(pieces) < sum(-(-n // 2048) for n in lengths.tolist()) * 1.35  # few documents are cut further
+    # small tasks get the solved counts together, not one of each combination at least
+    used = 0
+    for seed in range(400):
+        sequences = {}
+        for _, _, n, sequence, _ in packing.place(np.array([1040, 1000, 600, 448] * 2), [((1000, 600, 448), 0.03)], 2048, seed):
+            sequences.setdefault(sequence, []).append(n)
+        used += [1000, 600, 448] in sequences.values()  # greedy placement begins with 1040
+    assert 60 < used < 140  # 8 documents at 0.03: 96 expected
+
+
+def test_packing_holds_a_bounded_number_of_ids(spark, tiny, library, documents, monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 20_000)
+    rows = packing.op1_packing(spark, tiny).collect()
+    assert check_packing(rows, list(zip(documents["doc_id"], documents["text"], strict=True)), library, 1) == 0
 
 
 # op5
@@ -191,6 +205,48 @@ def test_perfect_hash():
         token_shards.Shard(b"x" * 40)
 
 
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        import io
+
+        self.data, self.file, self.got = data, io.BytesIO(data), 0
+
+    def size(self):
+        return len(self.data)
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def read(self, n):
+        self.got += n
+        return self.file.read(n)
+
+
+def test_keyed_reads_take_a_few_ranges(spark, tiny, library, documents):
+    rng = np.random.default_rng(2)
+    keys = sorted(set(rng.integers(-(2**62), 2**62, 30000).tolist()) | {5})
+    keys.insert(keys.index(5), 5)  # twice
+    payloads = [int(k & 0xFFFF).to_bytes(2, "little") * (1 + k % 40) for k in keys]
+    data = token_shards.pack_shard([None, *keys], [b"\7\0", *payloads], 2)
+    file, whole = Counted(data), token_shards.Shard(data)
+    shard = token_shards.ShardFile(file)
+    for k in [5, *keys[::997]]:
+        file.got = 0
+        assert [x.tolist() for x in shard.get(k)] == [x.tolist() for x in whole.get(k)] != []
+        assert file.got < 1500 < len(data) / 500
+    assert len(shard.get(5)) == 2 and all(shard.get(int(k)) == [] for k in rng.integers(-(2**62), 2**62, 300))
+    assert token_shards.ShardFile(Counted(token_shards.pack_shard([], [], 2))).get(1) == []
+    with pytest.raises(ValueError):
+        token_shards.ShardFile(Counted(b"x" * 40))
+    out = common.scratch(spark, "keyed-shards")
+    manifest = token_shards.write_shards(common.table(spark, tiny, "documents"), out, word_ids.default_path())
+    with common.open_input(f"{out}/{manifest['name'][0]}") as f:
+        (ids,) = token_shards.ShardFile(f).get(int(documents["doc_id"][0]))
+    assert ids.tolist() == library_ids(library, documents["text"][0]) + [0]
+
+
 # op2
 
 PAGE = """<!doctype html><html><head><title>t &amp; t</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
@@ -551,6 +607,27 @@ def test_top_k(spark):
     assert topk.top_k(v.where("id < 4"), F.col("id") == 0, 10).count() == 3
 
 
+def test_top_k_of_blocks_of_queries(spark):
+    """More queries than a block, of very different lengths: pruned bands lose nothing."""
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(900, 8)) * 10 ** rng.uniform(0, 4, (900, 1)))
+    x[700:720] = 0
+    v = spark.createDataFrame([(i, [int(a) for a in r]) for i, r in enumerate(x)], "id long, vec array<long>").repartition(4)
+    got = {}
+    for r in topk.top_k(v, F.col("id") % 3 == 0, 7, block=50, query_block=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for i in range(0, 900, 3):
+        s = x @ x[i]
+        order = [j for j in np.lexsort((np.arange(900), -s)) if j != i][:7]
+        assert got[i] == [(int(j), int(s[j])) for j in order]
+
+
+def test_samples_send_few_rows(spark):
+    df = spark.range(50_000).select("id")
+    got = common.sample(df, 300, 50_000)["id"].tolist()
+    assert 200 < len(got) <= 300 and got == common.sample(df.repartition(7), 300, 50_000)["id"].tolist() and common.sample(df.where("id < 9"), 300, 9)["id"].count() == 9
+
+
 def test_vectors_of_few_dimensions(spark):
     df = spark.createDataFrame([(i, [float(i % 7) - 3]) for i in range(60)], "id long, vec array<double>")
     q = F.col("id") % 20 == 0
@@ -876,6 +953,9 @@ def test_multi_index_recall_on_the_table(spark, tiny):
         s[i] = -np.inf
         hit, total = hit + len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]].tolist())), total + 20
     assert hit / total >= 0.9
+    report = {}
+    v = common.valid_vectors(common.table(spark, tiny, "embeddings"), "vec_id", "embedding")
+    assert multi_index.search(v, F.col("id") % 20 == 0, report=report, recall=0.9).count() and 0 < report["visited"] < 1 and report["centroids"] == (16, 16)
 
 
 def test_pipeline(spark, tiny, library, documents):

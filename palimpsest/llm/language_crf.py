@@ -33,14 +33,20 @@ UNKNOWN = "und"
 #: Word characters that are neither letters nor decimal digits: numerals of other kinds. None stand beyond U+1FFFF.
 _NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _LETTER = rf"[^\W\d_{_NUMERALS}]"
-_WORD = re.compile(rf"\b{_LETTER}++\b")
-_LETTERS = re.compile(rf"{_LETTER}+")
+_WORD, _LETTERS = re.compile(rf"\b{_LETTER}++\b"), re.compile(rf"{_LETTER}+")
+#: The same with such numerals among the letters: many times faster, and right for runs that are all letters.
+_QUICK_WORD, _QUICK_LETTERS = re.compile(r"\b[^\W\d_]++\b"), re.compile(r"[^\W\d_]+")
+
+
+def _runs(quick: re.Pattern, exact: re.Pattern, text: str) -> list[str]:
+    found = quick.findall(text)
+    return found if all(map(str.isalpha, found)) else [x for w in found for x in ([w] if w.isalpha() else exact.findall(w))]
 
 
 def words(text: str) -> list[str]:
     """Runs of letters, in lower case; those next to digits (keys, digests) only where there is nothing else."""
     text = text.lower()
-    return _WORD.findall(text) or _LETTERS.findall(text)
+    return _runs(_QUICK_WORD, _WORD, text) or _runs(_QUICK_LETTERS, _LETTERS, text)
 
 
 def features(word: str) -> list[str]:

@@ -790,6 +790,10 @@ def test_numerals_are_no_letters(spark):
     df = spark.createDataFrame([(i, t, "en" if i == 6 else "fr") for i, t in enumerate([*texts, *["some words here"] * 20])], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] == "und" for r in language_crf.identify(df).collect()}
     assert [got[i] for i in range(len(texts))] == [True] * 5 + [False] * 3
+    rng = random.Random(8)
+    for _ in range(3000):  # the quick way to find words against the exact one
+        text = "".join(rng.choice("ab é²½Ⅷ3_漢 ") for _ in range(rng.randint(0, 12)))
+        assert language_crf.words(text) == (language_crf._WORD.findall(text.lower()) or language_crf._LETTERS.findall(text.lower()))
     assert language_crf.words("x² ½ Ab3 cd") == ["cd"] and language_crf.words("ab3") == ["ab"]
 
 

@@ -5,7 +5,8 @@ two neighbours are compatible, that is, if merging their joined bytes gives back
 all pairs at once with numpy by undoing the later merge of either side and looking up whether the tokens at the border would
 have merged before. Only words with an incompatible pair are merged exactly, with a heap over a linked list.
 
-Null texts are empty (no tokens, digests of nothing). Rows that repeat a doc_id give a row each. Empty tables give no rows;
+Null texts are empty (no tokens, digests of nothing). Very long texts are encoded whole, in one row of a task; a word of any length is merged
+in time n log n. Files with settings that change the ids of a pre-token (dropout, byte_fallback, ignore_merges and so on) are refused. Rows that repeat a doc_id give a row each. Empty tables give no rows;
 extra columns are ignored.
 """
 
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import json
 import re
 from collections.abc import Iterator
 
@@ -31,7 +31,7 @@ class SpeculativeBPE:
     """A byte-level BPE file as tables. Inside, tokens are numbered by when they are made: bytes first, then merges in order."""
 
     def __init__(self, path: str, cache_words: int = 600_000):
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = word_ids.read_file(path)
         model = spec["model"]
         byte_of = {c: b for b, c in word_ids.byte_alphabet().items()}
         raw = lambda token: bytes(byte_of[c] for c in token)
@@ -171,6 +171,9 @@ class SpeculativeBPE:
             n, ids, decoded = zip(*map(known.__getitem__, ws), strict=True) if ws else ((), (), ())
             text = b"".join(decoded).decode("utf-8", "replace")
             yield sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        for w in new:
+            if len(w) > word_ids.KEPT_LENGTH:
+                del known[w]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

@@ -15,7 +15,7 @@ it back in edited copies); then, between the components so found, all pairs of w
 part around that one. Pairs inside a component can't change it, so no component is lost.
 
 Null texts and texts without words have no shingles (n_shingles 0) and are linked with nothing, not even each other. Texts with fewer words
-than a shingle are one shingle of all their words. Rows that repeat a doc_id: the sets of both stand under that id, it links
+than a shingle are one shingle of all their words. Very long texts are read whole, one at a time; their prefixes grow in proportion. Rows that repeat a doc_id: the sets of both stand under that id, it links
 to what either links to, and each row returns the component. A null doc_id is never linked and has a null component. Empty
 tables give no rows; extra columns are ignored.
 """

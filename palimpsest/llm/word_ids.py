@@ -12,6 +12,8 @@ import re
 
 import regex
 
+#: Longer words are encoded anew each time, so that a cache of words is bounded in bytes too.
+KEPT_LENGTH = 64
 #: Unicode White_Space, letters and numbers below U+02B0, for the quick form of the split pattern.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
@@ -39,6 +41,19 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def read_file(path: str) -> dict:
+    """A tokenizer file as JSON, if it is byte-level BPE without any setting that would change the ids of a pre-token."""
+    spec = json.load(open(path, encoding="utf-8"))
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in odd) and not spec.get("normalizer")
+    if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("only a plain byte-level BPE file is supported")
+    if any(a.get(k) for a in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("only added tokens that match as they stand are supported")
+    return spec
+
+
 class WordIds:
     """ids(text) as little-endian unsigned integers of `width` bytes. The cache is emptied at cache_words; results don't depend on it."""
 
@@ -46,10 +61,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-            raise ValueError("only a plain byte-level BPE file is supported")
+        spec = read_file(path)
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.size = self.tokenizer.get_vocab_size()
@@ -63,7 +75,7 @@ class WordIds:
         found = b"".join([self.code[t.id] for t in self.model.tokenize(mapped)])
         if len(self.cache) >= self.most:
             self.cache.clear()
-        if len(word) <= 64:
+        if len(word) <= KEPT_LENGTH:
             self.cache[word] = found
         return found
 

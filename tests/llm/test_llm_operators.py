@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import random
 import re
 import time
@@ -193,6 +194,25 @@ def test_shards(spark, tiny, library, documents, odd, none):
     assert empty.empty and token_shards.read_shards(spark, out, empty).count() == 0
 
 
+def test_tokenizer_files_that_differ_are_refused(tmp_path):
+    spec = json.load(open(word_ids.default_path(), encoding="utf-8"))
+    assert word_ids.read_file(word_ids.default_path())["model"]["type"] == "BPE"
+    changes = [("model", "ignore_merges", True), ("model", "byte_fallback", True), ("model", "dropout", 0.1), ("model", "type", "WordPiece"), ("pre_tokenizer", "use_regex", False), ("pre_tokenizer", "add_prefix_space", True)]
+    for part, name, value in changes:
+        small = {"model": {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}, "pre_tokenizer": dict(spec["pre_tokenizer"])}
+        small[part][name] = value
+        (tmp_path / "t.json").write_text(json.dumps(small))
+        with pytest.raises(ValueError):
+            word_ids.read_file(str(tmp_path / "t.json"))
+
+
+def test_long_words_are_not_kept(library):
+    codec, text = bpe.SpeculativeBPE(word_ids.default_path()), "a" * 500 + " short " + "xy" * 400
+    for _ in range(2):
+        assert [n for n, _, _ in codec.digest([text, text])] == [len(library.encode(text, add_special_tokens=False).ids)] * 2
+        assert codec.cache and max(len(w) for w in codec.cache if isinstance(w, str)) <= word_ids.KEPT_LENGTH
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**62), 2**62, 20000))

@@ -6,8 +6,9 @@
    makes a shingle look more common, it can't lose a pair. The counters have a fixed size, so they may be broadcast.
 3. Prefixes: two sets of the asked similarity share a shingle among each one's first n - ceil(t n) + 1. Join on these, with the
    length filter, and the positional filter (what can still follow after the shared position).
-4. Suffix filter: the sets' counts in SUFFIX_BINS hashed parts bound their difference from below.
-5. Verify each remaining pair once, on the words themselves.
+4. Suffix filter: the sets' counts in SUFFIX_BINS hashed parts bound their difference from below, and so does the number of
+   PARITY_BITS finer parts whose counts differ in parity. Only numbers travel up to here.
+5. Verify each remaining pair once, on the words themselves; only texts of such pairs are fetched.
 
 A group of near copies would still make pairs in the square of its size. So pairs are looked for in two passes: first each
 prefix shingle's documents with one of them, the one in which the shingle stands foremost (rarer shingles of their own push
@@ -36,6 +37,10 @@ from .components import components
 
 SLOTS = 1 << 21
 SUFFIX_BINS = 16
+#: A multiple of 64. Texts whose shingles far outnumber these parts are told apart less.
+PARITY_BITS = 1024
+#: Ids of texts to fetch are broadcast up to this number (8 bytes each); beyond, texts are shuffled once by their ids.
+MOST_IDS = 1 << 19
 _BLOCK = 1 << 15
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: ASCII only, as the contract's lower-casing.
@@ -183,8 +188,14 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits: whether a hashed part holds an odd number of the set's shingles. Two sets differ by at least as many shingles as bits."""
+    parts = (s >> np.uint64(40)) % np.uint64(PARITY_BITS)
+    return np.packbits((np.bincount(parts.astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, counters: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, bins, prefix): prefix shingles rare first, and counts of the whole set in hashed parts."""
+    """(doc_id, n, bins, parity, prefix): prefix shingles rare first, and counts of the whole set in hashed parts, those of finer parts modulo 2."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,21 +209,29 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, size: int, num: int, den: i
                 order = np.lexsort((s, shared.value[(s % np.uint64(SLOTS)).astype(np.int64)]))
                 head = s[order[: prefix_length(len(s), num, den)]].view(np.int64)
                 bins = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=SUFFIX_BINS)
-                rows.append((int(key), len(s), bins.astype(np.int32), head))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "bins", "prefix"])
+                rows.append((int(key), len(s), bins.astype(np.int32), parities(s), head))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "bins", "parity", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n int, bins array<int>, parity array<long>, prefix array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n int, bins array<int>, prefix array<long>")
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in pairs (a, b), written."""
+    ids = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
+    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids.hint("shuffle_hash")
+    return common.materialise(docs.where("text is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "jaccard-texts")
 
 
-def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: suffix filter on slim (doc_id, n, bins), then the words themselves."""
-    a = slim.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a"))
-    b = slim.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b"))
-    difference = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+def _verified(pairs: DataFrame, slim: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link: suffix filter on slim (doc_id, n, bins, parity), then the words themselves."""
+    a, b = (slim.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bins", "parity"))) for x in "ab")
+    total = lambda f, c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", f), F.lit(0), lambda s, x: s + x)
+    difference = F.greatest(total(lambda x, y: F.abs(x - y), "bins"), total(lambda x, y: F.bit_count(x.bitwiseXOR(y)), "parity"))
     # |a - b| + |b - a| = n_a + n_b - 2 overlap, and overlap >= t / (1 + t) (n_a + n_b)
     allowed = (F.col("n_a").cast("long") + F.col("n_b")) * (den - num) / F.lit(num + den)
     near = pairs.join(a, "a").join(b, "b").where(difference <= allowed).select("a", "b")
     near = common.materialise(near, "jaccard-near")
+    texts = _texts(docs, near)
     left = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -251,8 +270,9 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
     # prefixes of the classes' representatives; a shingle is of use from two documents on
     found = _prefixes(docs, _counters(described), size, num, den)
-    found = common.materialise(found.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "prefix"]), "jaccard-prefixes")
-    slim = found.select("doc_id", "n", "bins")
+    # a doc_id may stand for several sets, which may share a prefix
+    found = common.materialise(found.join(reps, "doc_id", "left_semi").dropDuplicates(), "jaccard-prefixes")
+    slim = found.select("doc_id", "n", "bins", "parity")
     entries = found.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     firsts = entries.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "n")).alias("f"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
     firsts = common.materialise(firsts.select("token", F.col("f.doc_id").alias("first"), F.col("f.pos").alias("first_pos"), F.col("f.n").alias("first_n")), "jaccard-firsts")
@@ -266,13 +286,8 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     entries = common.materialise(entries.join(firsts.select("token"), "token", "left_semi"), "jaccard-entries")
     star = entries.join(firsts, (entries["token"] == firsts["token"]) & (entries["doc_id"] != firsts["first"]) & fits("n", "first_n", "pos", "first_pos"))
     star = star.select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b")).distinct()
-    # texts of documents that share a prefix shingle: shuffled once, by doc_id, and kept for both verifications
-    sharing = entries.select("doc_id").distinct().hint("shuffle_hash")
-    texts = docs.where("doc_id is not null and text is not null").join(sharing, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    texts = common.materialise(texts, "jaccard-texts")
-    near_docs = lambda pairs: texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     star = common.materialise(star, "jaccard-star")
-    links = common.materialise(_verified(star, slim, near_docs(star), size, num, den), "jaccard-links")
+    links = common.materialise(_verified(star, slim, docs, size, num, den), "jaccard-links")
 
     # between components: at least one of a pair lies outside the component of the shingle's foremost document
     label = components(links)
@@ -283,7 +298,7 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     cross = labelled.join(outer, (labelled["token"] == outer["token"]) & (F.col("component") != F.col("component_o")) & fits("n", "n_o", "pos", "pos_o"))
     cross = cross.select(F.least("doc_id", "doc_id_o").alias("a"), F.greatest("doc_id", "doc_id_o").alias("b")).distinct()
     cross = common.materialise(cross.join(star, ["a", "b"], "left_anti"), "jaccard-cross")
-    more = _verified(cross, slim, near_docs(cross), size, num, den)
+    more = _verified(cross, slim, docs, size, num, den)
 
     # copies of a class, and rows that repeat a doc_id, hang together
     own = rows.where("n > 0 and doc_id is not null").join(classes, "print").where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -752,6 +752,38 @@ def test_jaccard_on_odd_tables(odd, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_sets_of_one_id_that_share_their_rare_shingles(spark):
+    run = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rare, c, d = run("r", 20), run("c", 80), run("d", 80)
+    rows = [(1, f"{rare} {c}"), (1, f"{rare} {d}"), (2, f"{rare} {c} x"), (3, f"{rare} {d} y")]
+    rows += [(10 + i, f"r18 r19 {w} {run(f'u{i}v', 90)}") for i, w in enumerate([c, d] * 5)]
+    want = brute_components(rows)
+    assert {k: v for k, _, v in want}[3] == 1
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()) == want
+
+
+def test_jaccard_parities_bound_differences_from_below():
+    rng, bits = random.Random(4), lambda a, b: sum((int(x) & (1 << 64) - 1).bit_count() for x in a ^ b)
+    for n in (1, 40, 400, 9000):
+        a = jaccard_join.shingler(3).hashes(" ".join(str(rng.random()) for _ in range(n)))
+        for share in (0.0, 0.05, 0.15, 1.0):
+            keep = np.array([rng.random() >= share for _ in a])
+            b = np.union1d(a[keep], jaccard_join.shingler(3).hashes(" ".join(str(rng.random()) for _ in range(int(n * share)))))
+            differ = len(np.setxor1d(a, b))
+            found = bits(jaccard_join.parities(a), jaccard_join.parities(b))
+            assert found <= differ and (share == 0.0) <= (found == 0)
+            if n == 400 and share == 0.15:  # refused at similarity 0.9, which the 16 counts alone often let through
+                assert found > (len(a) + len(b)) * 10 / 190
+
+
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_jaccard_texts_by_broadcast_or_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "MOST_IDS", most)
+    rows = near_copies(3)
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())
+    assert got == brute_components(rows, 3, 90, 100)
+
+
 def test_shingle_hashes_count_as_sets(documents):
     s = jaccard_join.Shingler(3)
     for t in documents["text"].tolist() + random_texts(300, 9) + [LONG]:
